@@ -30,5 +30,43 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_token_counts, op3_secret_scan)}
-ORACLE_SQL: dict[str, str] = {}
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archived
+
+    return archived(table(spark, sf_dir, "pages"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_token_counts, op3_secret_scan, op6_warc, op8_quality_rules, op10_decontamination)}
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc": """
+with p as (select page_id, coalesce(html, '') as html, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+f as (select payload_digest, min(page_id) as first from p where payload_bytes >= 100 group by 1)
+select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest,
+  case when first is not null and page_id <> first then 'revisit' else 'response' end as record_type,
+  case when first is not null and page_id <> first then first end as refers_to
+from p left join f using (payload_digest)""",
+    "op10_decontamination": f"""
+with d as (select doc_id, {_WORDS} as ws from documents), b as (select item_id, {_WORDS} as ws from benchmark),
+win as (select distinct item_id, least(10, len(ws)) as k, array_to_string(ws[i : i + least(10, len(ws)) - 1], ' ') as g from b, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) as t(i) where len(ws) > 0),
+ks as (select distinct k from win),
+hits as (select doc_id, i, k, item_id from (select doc_id, k, i, array_to_string(ws[i : i + k - 1], ' ') as g from d, ks, unnest(range(1, len(ws) - k + 2)) as t(i)) join win using (k, g)),
+covered as (select doc_id, count(distinct i + j) as n_hit from hits, unnest(range(0, k)) as t(j) group by 1),
+items as (select doc_id, count(*) as n_items, string_agg(id, ',' order by id) as ids from (select distinct doc_id, cast(item_id as varchar) as id from hits) group by 1)
+select doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join covered using (doc_id) left join items using (doc_id)""",
+}

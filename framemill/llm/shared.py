@@ -68,12 +68,6 @@ def texts_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def heavy(df: DataFrame, key: str, share: int = 2000) -> tuple[DataFrame, int]:
-    """Keys with more than 1/share of df's rows, so fewer than `share` of them whatever the input; and df's row count."""
-    n = df.count()
-    return df.groupBy(key).count().where(F.col("count") > max(1, n // share)).select(key), n
-
-
 def per_slab(f: Callable[[pa.RecordBatch], pa.RecordBatch], most: int = SLAB_BYTES) -> Callable:
     """A function for mapInArrow that applies f to slabs."""
 
