@@ -36,6 +36,12 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(table(spark, sf_dir, "pages"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents"), similarity=0.8, shingle=5)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_rules
 
@@ -48,7 +54,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_token_counts, op3_secret_scan, op6_warc, op8_quality_rules, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_token_counts, op3_secret_scan, op6_warc, op7_jaccard_join, op8_quality_rules, op10_decontamination)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -60,6 +66,15 @@ select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest,
   case when first is not null and page_id <> first then 'revisit' else 'response' end as record_type,
   case when first is not null and page_id <> first then first end as refers_to
 from p left join f using (payload_digest)""",
+    "op7_jaccard_join": f"""
+with recursive d as (select doc_id, {_WORDS} as ws from documents),
+s as (select distinct doc_id, array_to_string(ws[i : i + 4], ' ') as g from d, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) as t(i) where len(ws) > 0),
+n as (select doc_id, count(*) as n from s group by 1),
+pairs as (select x.doc_id as a, y.doc_id as b, count(*) as k from s x join s y using (g) where x.doc_id <> y.doc_id group by 1, 2),
+links as (select a, b from pairs join n na on a = na.doc_id join n nb on b = nb.doc_id where k >= 0.8 * (na.n + nb.n - k) - 1e-9),
+reach(a, b) as (select doc_id, doc_id from documents union select r.a, l.b from reach r join links l on r.b = l.a),
+class as (select a as doc_id, min(b) as class_id from reach group by 1)
+select doc_id, class_id, (select count(*) from links where a = doc_id) as n_links from class""",
     "op10_decontamination": f"""
 with d as (select doc_id, {_WORDS} as ws from documents), b as (select item_id, {_WORDS} as ws from benchmark),
 win as (select distinct item_id, least(10, len(ws)) as k, array_to_string(ws[i : i + least(10, len(ws)) - 1], ' ') as g from b, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) as t(i) where len(ws) > 0),
