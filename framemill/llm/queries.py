@@ -37,6 +37,12 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(docs, train(docs, table(spark, sf_dir, "labels")), threshold=0.3)
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_lm import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"), least=2)
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archived
 
@@ -68,11 +74,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_token_counts, op3_secret_scan, op4_quality_classifier, op6_warc, op7_jaccard_join, op8_quality_rules, op9_toxicity, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_token_counts, op3_secret_scan, op4_quality_classifier, op5_lm_scores, op6_warc, op7_jaccard_join, op8_quality_rules, op9_toxicity, op10_decontamination)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_lm_scores": f"""
+with d as (select doc_id, {_WORDS} as ws from documents),
+t as (select doc_id, i, ws[i] as w, case when i > 1 then ws[i - 1] end as v from d, unnest(range(1, len(ws) + 1)) as t(i)),
+u as (select w, count(*) as c from t group by 1), n as (select count(*) as n from t),
+b as (select v, w, count(*) as c from t where v is not null group by 1, 2),
+s as (select doc_id, case when t.v is null then 0 when b.c >= 2 then 0 else 1 end as backed,
+  case when b.c >= 2 then round(1e6 * ln(cast(b.c as double) / uv.c)) else (case when t.v is null then 0 else round(1e6 * ln(0.4)) end) + round(1e6 * ln(cast(uw.c as double) / n.n)) end as m
+  from t cross join n join u uw on uw.w = t.w left join u uv on uv.w = t.v left join b on b.v = t.v and b.w = t.w)
+select d.doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(sum(backed), 0) as bigint) as n_backoff, coalesce(sum(m), 0) / 1e6 as score, coalesce(sum(m), 0) / 1e6 / greatest(len(ws), 1) as mean_score
+from d left join s using (doc_id) group by d.doc_id, ws""",
     "op6_warc": """
 with p as (select page_id, coalesce(html, '') as html, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
 f as (select payload_digest, min(page_id) as first from p where payload_bytes >= 100 group by 1)
