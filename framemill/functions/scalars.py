@@ -50,9 +50,9 @@ def hex_string(b: Column | str) -> Column:
 
 
 def float_text(x: Column | str) -> Column:
-    """A number without exponent, without trailing zeros."""
-    text = F.format_string("%.9f", _c(x).cast("double"))
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", ""), r"^-0$", "0")
+    """A number's shortest decimal digits without exponent and trailing zeros; null beyond 18 digits before the point."""
+    text = _c(x).cast("string").try_cast("decimal(38,20)").cast("string")
+    return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
 
 def floor_even(n: Column | str) -> Column:

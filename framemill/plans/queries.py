@@ -14,7 +14,7 @@ from ..functions.cfa import GRBG, RGGB, channel_gain
 from ..functions.curves import linlog_parameter
 from ..operators import brackets, hdr, pixels as px
 from ..operators.dither import dither
-from ..operators.ljpeg import decode_payload, encode_payload
+from ..operators.ljpeg import decode_payload, encode_frame, encode_payload, tiled
 from ..operators.sidechannel import error_csv_row
 from ..ordering import numbered
 from ..sinks.files import Output, as_dng, image, stabilisation_csv
@@ -120,7 +120,7 @@ def channel_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels(spark, sf_dir).withColumn("v", channel_gain("v", GRBG, (2.0, 1.0, 1.5), "y", "x"))
 
 
-@query("select event_id, case when t like '%.%' then rtrim(rtrim(t, '0'), '.') else t end as t, lower(hex(event_type)) as h from (select event_id, event_type, printf('%.9f', value) as t from events)")
+@query("select event_id, rtrim(rtrim(t, '0'), '.') as t, lower(hex(event_type)) as h from (select event_id, event_type, cast(cast(cast(value as varchar) as decimal(38, 20)) as varchar) as t from events)")
 def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", scalars.float_text("value").alias("t"), scalars.hex_string(F.col("event_type").cast("binary")).alias("h"))
 
@@ -339,6 +339,20 @@ def output_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payloads(spark, sf_dir).repartition("frame_index").mapInPandas(run, "frame_index long, format string, bytes long").groupBy("format").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("frames"))
 
 
+@query()
+def tile_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoded bytes of all frames by tile size, and the size that takes least."""
+    sizes = (2, 4, 6, 8, 16)
+
+    def run(batches):
+        for batch in batches:
+            frames = [np.frombuffer(b, "<u2").reshape(SIDE, SIDE) for b in batch.payload]
+            yield pd.DataFrame({"tile": sizes, "bytes": [sum(len(encode_frame(t)) for v in frames for _, _, t in tiled(v, s)) for s in sizes]})
+
+    rows = payloads(spark, sf_dir).repartition("frame_index").mapInPandas(run, "tile int, bytes long").groupBy("tile").agg(F.sum("bytes").alias("bytes"))
+    return rows.withColumn("best", rows.agg(F.min_by("tile", "bytes")).scalar())
+
+
 @query(f"select name, cast(row_number() over (order by frame_index desc) - 1 as bigint) as place from {S}")
 def numbered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered(sequence(spark, sf_dir), [F.desc("frame_index")], "place").select("name", "place")
