@@ -307,9 +307,7 @@ def ljpeg_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select vec_id as frame_index, 8 as width, 8 as height, true as same from embeddings")
 def dng_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames to DNG files of tiled lossless JPEG and back."""
-    none = F.expr("cast(array() as array<struct<format:int,data:binary,text:string,filename:string>>)")
-    frames = payloads(spark, sf_dir).select(F.col("frame_index").cast("string").alias("output_name"), F.lit("").alias("original_filename"), F.lit(SIDE).alias("width"), F.lit(SIDE).alias("height"), F.array(*map(F.lit, RGGB)).alias("cfa"), "payload", none.alias("meta"), F.expr("cast(array() as array<struct<code:string,severity:string,description:string,filename:string,data:binary>>)").alias("errors"))
-    files = as_dng(frames, Output("bright16", tile=16))
+    files = as_dng(_dng_frames(spark, sf_dir), Output("bright16", tile=16))
 
     def read(batches):
         for batch in batches:
@@ -320,6 +318,25 @@ def dng_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.join(payloads(spark, sf_dir), "frame_index").select("frame_index", "width", "height", (F.col("back") == F.col("payload")).alias("same"))
 
 
+def _dng_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.expr("cast(array() as array<struct<format:int,data:binary,text:string,filename:string>>)")
+    return payloads(spark, sf_dir).repartition("frame_index").select(F.col("frame_index").cast("string").alias("output_name"), F.lit("").alias("original_filename"), F.lit(SIDE).alias("width"), F.lit(SIDE).alias("height"), F.array(*map(F.lit, RGGB)).alias("cfa"), "payload", none.alias("meta"), F.expr("cast(array() as array<struct<code:string,severity:string,description:string,filename:string,data:binary>>)").alias("errors"))
+
+
+@query("select vec_id as frame_index, 16 as bits, 1 as compression, 32803 as photometric, 4.0::double as exposure, '00010102' as cfa, vec_id || '.raw' as original from embeddings")
+def dng_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What tags of written files say, read back."""
+    frames = _dng_frames(spark, sf_dir).withColumn("original_filename", F.concat("output_name", F.lit(".raw")))
+
+    def read(batches):
+        for batch in batches:
+            for name, b in zip(batch.output_name, batch.content):
+                d = tiff.Tiff(bytes(b)).first
+                yield pd.DataFrame([{"frame_index": int(name), "bits": d[tiff.BITS][0], "compression": d[tiff.COMPRESSION][0], "photometric": d[tiff.PHOTOMETRIC][0], "exposure": d[tiff.BASELINE_EXPOSURE][0], "cfa": bytes(d[tiff.CFA]).hex(), "original": d[tiff.ORIGINAL_NAME][0]}])
+
+    return as_dng(frames, Output("dark16", encoding="strip")).mapInPandas(read, "frame_index long, bits int, compression int, photometric int, exposure double, cfa string, original string")
+
+
 @query()
 def linlog_dither(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payloads(spark, sf_dir).select("frame_index", F.lower(F.hex(dither("payload", SIDE, 16, 8, GRBG))).alias("codes"))
