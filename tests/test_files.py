@@ -137,3 +137,19 @@ def test_watched_folder(spark, tmp_path):
         assert bytes(spark.table("came").first().payload) == (frame() << 4).astype(np.uint16).tobytes()
     finally:
         q.stop()
+
+
+def test_dng_data_source(spark, tmp_path):
+    from framemill.sinks.datasource import register
+
+    register(spark)
+    rows = [(f"{i}.dng", 32, 24, list(GRBG), bytearray(frame(i).tobytes())) for i in range(3)]
+    df = spark.createDataFrame(rows, "output_name string, width int, height int, cfa array<int>, payload binary")
+    write = lambda d, **o: d.write.format("bayer_dng").options(format="bright16", tile="16", **o).mode("append").save(str(tmp_path / "out"))
+    write(df)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["0.dng", "1.dng", "2.dng"]
+    assert (tiff.linear(tiff.Tiff((tmp_path / "out" / "2.dng").read_bytes())) == frame(2)).all()
+    with pytest.raises(Exception, match="FileExistsError|0.dng"):
+        write(df)
+    write(df, ifExists="skip")
+    assert len(list((tmp_path / "out").iterdir())) == 3
