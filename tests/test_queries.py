@@ -41,3 +41,11 @@ def test_entry(spark):
 
     assert set(q.QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() == 4
+
+
+def test_entry_without_training_data():
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['framemill.llm'] = None; import __spark_entry__ as e; assert e.queries() and not [n for n in e.queries() if n == 'pipeline' or n.startswith('op') and n[2].isdigit()]"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
