@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from ..ordering import numbered
 
 SLOTS = 6
-SHOT = re.compile(r"(E|X)(?:(\+|-|\*|/)([\d.,]+))?", re.I)
+#: Fixed value: the language of a slot.
+SHOT_TEXT = r"(E|X)(?:(\+|-|\*|/)([\d.,]+))?"
+SHOT = re.compile(SHOT_TEXT, re.I)
 
 
 @dataclass(frozen=True)
@@ -40,8 +42,7 @@ def parse_shots(slots: list[str]) -> list[Shot]:
 def shot_multiplier(text: Column | str) -> Column:
     """The multiplier of a slot's text, null for blank slots and X: the same language as a Column."""
     t = F.col(text) if isinstance(text, str) else text
-    pattern = r"(?i)(E|X)(?:(\+|-|\*|/)([\d.,]+))?"
-    part = lambda k: F.regexp_extract(t, pattern, k)
+    part = lambda k: F.regexp_extract(t, f"(?i){SHOT_TEXT}", k)
     n = F.regexp_replace(part(3), ",", ".").try_cast("double")
     return F.when(F.upper(part(1)) == "E", F.when((part(2) == "+") & n.isNotNull(), F.pow(F.lit(2.0), n)).when((part(2) == "*") & n.isNotNull(), n).otherwise(F.lit(1.0)))
 

@@ -129,6 +129,7 @@ def stabilisation_csv(offsets: DataFrame) -> DataFrame:
 
 def keyframes(offsets: DataFrame, width: int, height: int, rate: int = 24) -> DataFrame:
     """Lines of a keyframe text: header, a tab row for each frame, footer; `order` and `value`."""
+    # fixed values: the text format of keyframes
     head = ["Adobe After Effects 8.0 Keyframe Data", "", f"\tUnits Per Second\t{rate}", f"\tSource Width\t{width}", f"\tSource Height\t{height}", "\tSource Pixel Aspect Ratio\t1", "\tComp Pixel Aspect Ratio\t1", "", "Effects\tPoint Control\tPoint", "\tFrame\tX pixels\tY pixels\t"]
     foot = ["", "", "End of Keyframe Data"]
     fixed = [(k - len(head), s) for k, s in enumerate(head)] + [((1 << 62) + k, s) for k, s in enumerate(foot)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
 
 import numpy as np
 
@@ -76,16 +77,16 @@ def text(values: list[tuple[int, bytes]]) -> str:
     return "\n".join(lines) + "\n"
 
 
-def offsets(b: bytes) -> tuple[float, float]:
-    """The stabilisation offsets alone; stops when both are found, and steps over all other values."""
+def offsets(read: Callable[[int, int], bytes], size: int) -> tuple[float, float]:
+    """The stabilisation offsets alone. read(n, at) gives n bytes from a place on; values of other tags are stepped over unread, and nothing is read after both are found."""
     found, at = {}, 0
-    while at + 8 <= len(b) and len(found) < 2:
-        tag, n = struct.unpack_from("<II", b, at)
+    while at + 8 <= size and len(found) < 2:
+        tag, n = struct.unpack("<II", read(8, at))
         if not tag:
             at += 4
             continue
-        if tag in (OFFSET_H, OFFSET_V) and n >= 4:
-            (found[tag],) = struct.unpack_from("<f", b, at + 8)
+        if tag in (OFFSET_H, OFFSET_V) and n >= 4 and at + 12 <= size:
+            (found[tag],) = struct.unpack("<f", read(4, at + 8))
         at += 8 + n
     return found.get(OFFSET_H, 0.0), found.get(OFFSET_V, 0.0)
 

@@ -5,13 +5,14 @@ Files are listed and read by Spark's binaryFile source, so they may be in any st
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.frames import unpack
 from ..operators.brackets import indexed
 from ..operators.sidechannel import CRI_CHUNK, ERROR, META
 from . import cri, tiff
@@ -101,15 +102,15 @@ def read_cri_tags(spark: SparkSession, path: str, pattern: str = "*.cri") -> Dat
 
 
 def read_stabilisation(spark: SparkSession, path: str, pattern: str = "*.cri") -> DataFrame:
-    """frame_index, h, v: the offsets of film-scan files, and nothing else of them."""
+    """frame_index, h, v: the offsets of film-scan files. Only the tags' headers are read, so frame data stay where they are."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [cri.offsets(bytes(b)) for b in batch.content]
+            found = []
+            for name in batch.name:
+                where, file = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", name))
+                with where.open_input_file(file) as f:
+                    found.append(cri.offsets(f.read_at, f.size()))
             yield pd.DataFrame({"frame_index": batch.frame_index, "h": [x for x, _ in found], "v": [x for _, x in found]})
 
-    return _contents(spark, path, pattern).mapInPandas(run, "frame_index long, h float, v float")
-
-
-def linear_payload(b: bytes, kind: str) -> bytes:
-    return unpack(b, kind).astype("<u2").tobytes()
+    return listing(spark, path, pattern).mapInPandas(run, "frame_index long, h float, v float")
