@@ -23,8 +23,9 @@ from .words import mix, words
 
 HOT = 1 << 17
 SLAB = 4 << 20
-#: Words whose pairs make up a bucket.
-BUCKET_WORDS = 1_500_000
+#: Buckets of a corpus, and words whose pairs a bucket has at most; a corpus that is larger than both allow gets more buckets. Then slabs grow with them up to SLAB_MOST, so that packed rows stay few; there are never more of them than pairs.
+BUCKETS, BUCKET_WORDS = 96, 2_000_000
+SLAB_MOST = 32 << 20
 #: Distinct words that a counting task holds before it sends them.
 HELD = 1_000_000
 BYTES = 7  # of a word's hash
@@ -109,7 +110,8 @@ def lm_scores(docs: DataFrame, least: int = 2, id_col: str = "doc_id", text_col:
     hot = sorted((r.h, r.c) for r in counts.where(F.col("c") > total // HOT).toLocalIterator())
     sent = spark.sparkContext.broadcast((np.array([h for h, _ in hot], np.int64).view(np.uint64), np.array([c for _, c in hot], np.int64)))
     parallel = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    buckets = max(parallel, total // BUCKET_WORDS + 1)
+    buckets = max(BUCKETS, total // BUCKET_WORDS + 1)
+    slab_bytes = min(SLAB_MOST, SLAB * max(1, buckets // BUCKETS))
     kind = df.schema["doc_id"].dataType.simpleString()
     schema = f"key long, kind int, slab long, payload binary, doc_id {kind}, idx int, n long"
 
@@ -131,18 +133,21 @@ def lm_scores(docs: DataFrame, least: int = 2, id_col: str = "doc_id", text_col:
             names=["key", "kind", "slab", "payload", "doc_id", "idx", "n"],
         )
 
-    def asks(t: pa.DataType, slab: np.ndarray, h: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
-        """Requests for log(c(h) / N), one row for each bucket and slab."""
-        b = bucket(h)
-        order = np.lexsort((slab, b))
+    def asks(t: pa.DataType, names: np.ndarray, slab: np.ndarray, h: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+        """Requests for log(c(h) / N), one row for each bucket; slab: a number in `names` for each."""
+        b = bucket(h).astype(np.int32)
+        order = np.lexsort((slab, h, b))
         b, slab, h, doc = b[order], slab[order], h[order], doc[order]
-        cut = changes(b, slab)
-        ends = np.r_[cut[1:], len(b)]
-        return row(t, b[cut], ASKED, slab[cut], [together(pack(h[x:y]), doc[x:y].astype("<u2").tobytes()) for x, y in zip(cut.tolist(), ends.tolist())])
+        cut = changes(b)
+        payload = []
+        for x, y in zip(cut.tolist(), np.r_[cut[1:], len(b)].tolist()):
+            own, at = np.unique(slab[x:y], return_inverse=True)
+            payload.append(together(pack(h[x:y]), doc[x:y].astype("<u2").tobytes(), at.astype("<u4").tobytes(), names[own].astype("<i8").tobytes()))
+        return row(t, b[cut].astype(np.int64), ASKED, [0] * len(cut), payload)
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng()
-        for slab in text_slabs(batches, SLAB):
+        for slab in text_slabs(batches, slab_bytes):
             if len(slab) > 65535:
                 raise ValueError("a slab has more texts than its document numbers can tell apart")
             t = slab.column(0).type
@@ -155,10 +160,10 @@ def lm_scores(docs: DataFrame, least: int = 2, id_col: str = "doc_id", text_col:
             sums = np.zeros(len(slab), np.int64)
             sums[some] = np.where(known > 0, micro(np.maximum(known, 1) / max(total, 1)), 0)
             yield row(t, [name] * len(slab), DOC, [name] * len(slab), None, slab.column(0), range(len(slab)), size)
-            yield row(t, [name], SUMS, [name], [together(sums.astype("<i8").tobytes(), b"")])
+            yield row(t, [name], SUMS, [name], [together(np.arange(len(slab)).astype("<u2").tobytes(), sums.astype("<i8").tobytes(), np.zeros(len(slab), "<u4").tobytes())])
             cold = known == 0
             if cold.any():
-                yield asks(t, np.full(int(cold.sum()), name), first[cold], some[cold])
+                yield asks(t, np.array([name]), np.zeros(int(cold.sum()), np.int32), first[cold], some[cold])
             nxt = np.r_[h[1:], END] if len(h) else h
             nxt[w.first[1:][some] - 1] = END
             # each distinct (first word, second word, document) of the slab with its count
@@ -177,15 +182,16 @@ def lm_scores(docs: DataFrame, least: int = 2, id_col: str = "doc_id", text_col:
             ]
             yield row(t, b[each], PAIRS, [name] * len(each), payload)
 
-    def by_slab(t: pa.DataType, slab: np.ndarray, doc: np.ndarray, value: np.ndarray, backed: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Sums of values and counts of back-offs, one packed row for each slab."""
-        order = np.lexsort((doc, slab))
-        slab, doc, value, backed = slab[order], doc[order], value[order], backed[order]
-        cut = changes(slab)
-        names, payload = slab[cut], []
+    def by_slab(t: pa.DataType, names: np.ndarray, slab: np.ndarray, doc: np.ndarray, value: np.ndarray, backed: np.ndarray) -> pa.RecordBatch:
+        """Sums of values and counts of back-offs, one packed row for each slab; slab: a number in `names` for each."""
+        place = slab.astype(np.int64) << 16 | doc
+        keys, at = np.unique(place, return_inverse=True)
+        sums, counts = np.bincount(at, value, len(keys)).astype("<i8"), np.bincount(at, backed, len(keys)).astype("<u4")
+        slab, doc = keys >> 16, keys & 0xFFFF
+        cut, payload = changes(slab), []
         for s, e in zip(cut.tolist(), np.r_[cut[1:], len(slab)].tolist()):
-            payload.append(together(np.bincount(doc[s:e], value[s:e]).astype("<i8").tobytes(), np.bincount(doc[s:e], backed[s:e]).astype("<u4").tobytes()))
-        yield row(t, names, SUMS, names, payload)
+            payload.append(together(doc[s:e].astype("<u2").tobytes(), sums[s:e].tobytes(), counts[s:e].tobytes()))
+        return row(t, names[slab[cut]], SUMS, names[slab[cut]], payload)
 
     def split_kinds(t: pa.Table) -> tuple[np.ndarray, pa.DataType]:
         return t["kind"].to_numpy(), t.schema.field("doc_id").type
@@ -201,29 +207,31 @@ def lm_scores(docs: DataFrame, least: int = 2, id_col: str = "doc_id", text_col:
         parts = [apart(b, 6) for b in mine["payload"].to_pylist()]
         col = lambda i, dtype: np.concatenate([np.frombuffer(p[i], dtype) for p in parts])
         v, x = np.concatenate([unpack(p[0]) for p in parts]), np.concatenate([unpack(p[2]) for p in parts])
-        k1, k2, doc, n = col(1, "<u4").astype(np.int64), col(3, "<u2").astype(np.int64), col(4, "<u2").astype(np.int64), col(5, "<u4").astype(np.int64)
-        slab = np.repeat(mine["slab"].to_numpy(), [len(p[4]) // 2 for p in parts])
-        start2 = np.cumsum(k2) - k2
-        pair_n = np.add.reduceat(n, start2)
-        owner = np.repeat(np.arange(len(v)), k1)  # of each pair row its first word's row
+        k1, k2, doc, n = col(1, "<u4").astype(np.int32), col(3, "<u2").astype(np.int32), col(4, "<u2"), col(5, "<u4")
+        names, slab = np.unique(mine["slab"].to_numpy(), return_inverse=True)
+        slab = np.repeat(slab.astype(np.int32), [len(p[4]) // 2 for p in parts])
+        del parts, mine, t
+        pair_n = np.add.reduceat(n, np.cumsum(k2, dtype=np.int64) - k2, dtype=np.int64)
+        owner = np.repeat(np.arange(len(v), dtype=np.int32), k1)  # of each pair row its first word's row
         words1, at1 = np.unique(v, return_inverse=True)
         c1 = np.bincount(at1[owner], pair_n, len(words1)).astype(np.int64)
         known = hot_counts(words1)
-        c1 = np.where(known > 0, known, c1)
+        c1 = np.where(known > 0, known, c1)[at1][owner]
         _, at2 = np.unique(mix(v[owner] * _K + x), return_inverse=True)
         c2 = np.bincount(at2, pair_n).astype(np.int64)[at2]
-        c1 = c1[at1[owner]]
-        seen = c2 >= least
+        del at1, at2, v, owner
+        seen, real = c2 >= least, x != END
         cx = hot_counts(x)
         value = np.where(seen, micro(c2 / np.maximum(c1, 1)), BACKOFF + np.where(cx > 0, micro(np.maximum(cx, 1) / max(total, 1)), 0))
-        real = x != END
         value[~real] = 0
-        entry = np.repeat(np.arange(len(x)), k2)
-        yield from by_slab(ids, slab, doc, value[entry] * n, (~seen & real)[entry] * n)
-        ask = np.flatnonzero((~seen & real & (cx == 0))[entry])
+        backed, ask = ~seen & real, ~seen & real & (cx == 0)
+        del c1, c2, cx
+        entry = np.repeat(np.arange(len(x), dtype=np.int32), k2)
+        yield by_slab(ids, names, slab, doc, value[entry] * n, backed[entry] * n)
+        ask = np.flatnonzero(ask[entry])
         if len(ask):
             ask = np.repeat(ask, n[ask])
-            yield asks(ids, slab[ask], x[entry[ask]], doc[ask])
+            yield asks(ids, names, slab[ask], x[entry[ask]], doc[ask])
 
     def answer(t: pa.Table) -> Iterator[pa.RecordBatch]:
         what, ids = split_kinds(t)
@@ -233,14 +241,14 @@ def lm_scores(docs: DataFrame, least: int = 2, id_col: str = "doc_id", text_col:
         mine = t.filter(pa.array(what == ASKED))
         if not len(mine):
             return
-        parts = [apart(b, 2) for b in mine["payload"].to_pylist()]
-        h, doc = np.concatenate([unpack(p[0]) for p in parts]), np.concatenate([np.frombuffer(p[1], "<u2") for p in parts]).astype(np.int64)
-        slab = np.repeat(mine["slab"].to_numpy(), [len(p[1]) // 2 for p in parts])
+        parts = [apart(b, 4) for b in mine["payload"].to_pylist()]
+        h, doc = np.concatenate([unpack(p[0]) for p in parts]), np.concatenate([np.frombuffer(p[1], "<u2") for p in parts])
+        names, slab = np.unique(np.concatenate([np.frombuffer(p[3], "<i8")[np.frombuffer(p[2], "<u4")] for p in parts]), return_inverse=True)
         table = [apart(b, 2) for b in t.filter(pa.array(what == COUNTS))["payload"].to_pylist()]
         keys, c = np.concatenate([unpack(p[0]) for p in table]), np.concatenate([np.frombuffer(p[1], "<u8") for p in table]).astype(np.int64)
         order = np.argsort(keys)
         c = c[order[np.searchsorted(keys[order], h)]]
-        yield from by_slab(ids, slab, doc, micro(c / max(total, 1)), np.zeros(len(h), np.int64))
+        yield by_slab(ids, names, slab, doc, micro(c / max(total, 1)), np.zeros(len(h), np.int64))
 
     def packed_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
@@ -260,9 +268,9 @@ def lm_scores(docs: DataFrame, least: int = 2, id_col: str = "doc_id", text_col:
         rows = t.filter(pa.array(what == DOC))
         score, backed = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
         for b in t.filter(pa.array(what == SUMS))["payload"].to_pylist():
-            s, k = (np.frombuffer(x, d) for x, d in zip(apart(b, 2), ("<i8", "<u4")))
-            score[: len(s)] += s
-            backed[: len(k)] += k
+            d, s, k = (np.frombuffer(x, kind) for x, kind in zip(apart(b, 3), ("<u2", "<i8", "<u4")))
+            score[d] += s
+            backed[d] += k
         at = rows["idx"].to_numpy()
         n = rows["n"].to_numpy()
         yield pa.RecordBatch.from_arrays([rows["doc_id"].combine_chunks() if rows["doc_id"].num_chunks != 1 else rows["doc_id"].chunk(0), pa.array(n), pa.array(backed[at]), pa.array(score[at] / 1e6), pa.array(score[at] / 1e6 / np.maximum(n, 1))], names=["doc_id", "n_words", "n_backoff", "score", "mean_score"])
