@@ -83,7 +83,8 @@ def measure(column: pa.Array, limits: Limits = Limits()) -> dict:
     per = lambda flag: _per(flag, line.starts, line.ends)
     lw = np.repeat(np.arange(len(of)), k)
     at = np.repeat(a - (np.cumsum(k) - k), k) + np.arange(len(lw))
-    distinct = np.bincount((np.unique(np.stack([lw.astype(np.uint64), w.hashes[at]]), axis=1)[0]).astype(np.int64), minlength=len(of)) if len(lw) else np.zeros(len(of), np.int64)
+    _, once = np.unique(w.hashes[at] ^ mix(lw.astype(np.uint64)), return_index=True)
+    distinct = np.bincount(lw[once], minlength=len(of))
     fails = per(SYMBOLS[data]) > limits.symbols * k
     fails |= (k >= 4) & (per(data == 33) >= limits.bangs * k)
     fails |= (k >= limits.unpunctuated) & (per(PUNCTUATION[data]) == 0)
