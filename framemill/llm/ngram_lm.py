@@ -64,6 +64,26 @@ def apart(b: bytes, n: int) -> list[bytes]:
     return out
 
 
+def packed_sums(doc: np.ndarray, value: np.ndarray, backed: np.ndarray) -> bytes:
+    """Sums and counts by document number: for all numbers up to the largest if most have some, in as few bytes as they fit in."""
+    if 2 * len(doc) > doc[-1] + 1:
+        value, backed, doc = np.bincount(doc, value), np.bincount(doc, backed), doc[:0]
+    value, backed = value.astype("<i8"), backed.astype("<u4")
+    if np.abs(value).max() < 1 << 31:
+        value = value.astype("<i4")
+    if backed.max() < 1 << 16:
+        backed = backed.astype("<u2")
+    return together(doc.astype("<u2").tobytes(), value.tobytes(), backed.tobytes(), struct.pack("<I", len(value)))
+
+
+def add_sums(b: bytes, score: np.ndarray, backed: np.ndarray) -> None:
+    doc, value, more, n = apart(b, 4)
+    (n,) = struct.unpack("<I", n)
+    at = np.frombuffer(doc, "<u2") if doc else slice(0, n)
+    score[at] += np.frombuffer(value, f"<i{len(value) // n}")
+    backed[at] += np.frombuffer(more, f"<u{len(more) // n}")
+
+
 def micro(x: np.ndarray) -> np.ndarray:
     return np.rint(1e6 * np.log(x)).astype(np.int64)
 
@@ -160,7 +180,7 @@ def lm_scores(docs: DataFrame, least: int = 2, id_col: str = "doc_id", text_col:
             sums = np.zeros(len(slab), np.int64)
             sums[some] = np.where(known > 0, micro(np.maximum(known, 1) / max(total, 1)), 0)
             yield row(t, [name] * len(slab), DOC, [name] * len(slab), None, slab.column(0), range(len(slab)), size)
-            yield row(t, [name], SUMS, [name], [together(np.arange(len(slab)).astype("<u2").tobytes(), sums.astype("<i8").tobytes(), np.zeros(len(slab), "<u4").tobytes())])
+            yield row(t, [name], SUMS, [name], [packed_sums(np.arange(len(slab)), sums, np.zeros(len(slab)))])
             cold = known == 0
             if cold.any():
                 yield asks(t, np.array([name]), np.zeros(int(cold.sum()), np.int32), first[cold], some[cold])
@@ -186,11 +206,11 @@ def lm_scores(docs: DataFrame, least: int = 2, id_col: str = "doc_id", text_col:
         """Sums of values and counts of back-offs, one packed row for each slab; slab: a number in `names` for each."""
         place = slab.astype(np.int64) << 16 | doc
         keys, at = np.unique(place, return_inverse=True)
-        sums, counts = np.bincount(at, value, len(keys)).astype("<i8"), np.bincount(at, backed, len(keys)).astype("<u4")
+        sums, counts = np.bincount(at, value, len(keys)), np.bincount(at, backed, len(keys))
         slab, doc = keys >> 16, keys & 0xFFFF
         cut, payload = changes(slab), []
         for s, e in zip(cut.tolist(), np.r_[cut[1:], len(slab)].tolist()):
-            payload.append(together(doc[s:e].astype("<u2").tobytes(), sums[s:e].tobytes(), counts[s:e].tobytes()))
+            payload.append(packed_sums(doc[s:e], sums[s:e], counts[s:e]))
         return row(t, names[slab[cut]], SUMS, names[slab[cut]], payload)
 
     def split_kinds(t: pa.Table) -> tuple[np.ndarray, pa.DataType]:
@@ -268,9 +288,7 @@ def lm_scores(docs: DataFrame, least: int = 2, id_col: str = "doc_id", text_col:
         rows = t.filter(pa.array(what == DOC))
         score, backed = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
         for b in t.filter(pa.array(what == SUMS))["payload"].to_pylist():
-            d, s, k = (np.frombuffer(x, kind) for x, kind in zip(apart(b, 3), ("<u2", "<i8", "<u4")))
-            score[d] += s
-            backed[d] += k
+            add_sums(b, score, backed)
         at = rows["idx"].to_numpy()
         n = rows["n"].to_numpy()
         yield pa.RecordBatch.from_arrays([rows["doc_id"].combine_chunks() if rows["doc_id"].num_chunks != 1 else rows["doc_id"].chunk(0), pa.array(n), pa.array(backed[at]), pa.array(score[at] / 1e6), pa.array(score[at] / 1e6 / np.maximum(n, 1))], names=["doc_id", "n_words", "n_backoff", "score", "mean_score"])
