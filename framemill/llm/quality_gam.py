@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from .labelled import ROWS, fetched, remainder, sample
 from .quality_rules import measure
 from .shared import raw, text_slabs, texts_of
-from .words import NONSPACE, byte_class, words
+from .words import NONSPACE, byte_class, mix, words
 
 UPPER = byte_class(lambda b: 65 <= b <= 90)
 DIGIT = byte_class(lambda b: 48 <= b <= 57)
@@ -45,7 +45,7 @@ def features(column: pa.Array) -> np.ndarray:
     size = w.ends - w.starts
     longest = np.zeros(n)
     np.maximum.at(longest, doc, size)
-    pairs = np.unique(np.stack([doc.astype(np.uint64), w.hashes]), axis=1)[0].astype(np.int64) if len(doc) else np.zeros(0, np.int64)
+    _, once = np.unique(w.hashes ^ mix(doc.astype(np.uint64)), return_index=True)
     doubled = np.zeros(len(doc), bool)
     doubled[1:] = (w.hashes[1:] == w.hashes[:-1]) & (doc[1:] == doc[:-1])
     lines = np.maximum(np.bincount(m["lines"][0], minlength=n), 1)
@@ -53,7 +53,7 @@ def features(column: pa.Array) -> np.ndarray:
     chars = np.maximum(m["word_chars"], 1)
     return np.stack(
         [np.log1p(m["n_words"]), m["word_chars"] / k, m["n_symbols"] / k, m["n_dup_lines"] / lines, m["n_repeat_words"] / k, m["lost_chars"] / chars, count(data == 33) / k, count(data == 124) / k, count(UPPER[data]) / chars, count(DIGIT[data]) / chars]
-        + [count(STOP[data]) / k, count(COMMA[data]) / k, np.bincount(pairs, minlength=n) / k, by_doc(doubled) / k, np.log1p(lines), k / lines, np.log1p(longest), count(data >= 128) / chars, by_doc(~(np.char.isalnum(_chr(last)) | (last >= 128))) / k, by_doc(UPPER[first]) / k],
+        + [count(STOP[data]) / k, count(COMMA[data]) / k, np.bincount(doc[once], minlength=n) / k, by_doc(doubled) / k, np.log1p(lines), k / lines, np.log1p(longest), count(data >= 128) / chars, by_doc(~(np.char.isalnum(_chr(last)) | (last >= 128))) / k, by_doc(UPPER[first]) / k],
         axis=1,
     )
 
