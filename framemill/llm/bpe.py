@@ -22,7 +22,7 @@ from .segments import segments
 from .shared import text_slabs, texts_of
 
 #: Segments that a task remembers between slabs; beyond it the memory starts anew. It changes the speed only.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
