@@ -33,8 +33,10 @@ GRAM_SCALE = 0.3
 PRIOR = 8
 #: Steps of training, about, and windows of a step.
 STEPS, STEP_WINDOWS = 1200, 64
+#: Bytes of text whose tokens the trainer holds at a time.
+TRAIN_SLAB = 1 << 18
 BATCH = 4096
-ROWS = 8000
+ROWS = 6000
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 
@@ -188,7 +190,7 @@ class Network:
 def _odds(column: pa.Array, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log odds of label 1 among the texts that have a word or gram bucket, over those among all; shrunk as if PRIOR more texts had the usual share."""
     counts = [np.zeros((2, WORD_BUCKETS)), np.zeros((2, GRAM_BUCKETS))]
-    for a, b in slabs(column, 1 << 20):
+    for a, b in slabs(column, TRAIN_SLAB):
         t = tokens(column.slice(a, b - a))
         text = np.repeat(np.arange(b - a), np.diff(t.first))
         pairs = np.unique(text * len(t.word) + t.kind) if len(text) else np.zeros(0, np.int64)
@@ -221,7 +223,7 @@ def train(texts: list[str], y: np.ndarray, rate: float = 0.01, seed: int = 5) ->
     for half, other in ((0, 1), (1, 0)):
         net.odds = known[other]
         some, ys = column(halves[half]), y[halves[half]]
-        for a, b in slabs(some, 1 << 20):
+        for a, b in slabs(some, TRAIN_SLAB):
             t = tokens(some.slice(a, b - a))
             text, start, n = windows(t.first)
             fixed = net.fixed(t)
@@ -236,7 +238,8 @@ def train(texts: list[str], y: np.ndarray, rate: float = 0.01, seed: int = 5) ->
                 for k in chosen:
                     at = t.kind[place[k]]
                     rows.append((t.word[at], t.grams[at], fixed[at], np.arange(WINDOW) < n[k], ys[a + d]))
-    ids, grams, fixed, masks, target = (np.array(x) for x in zip(*rows))
+    ids, grams, fixed, masks, target = (np.array([r[k] for r in rows]) for k in range(5))
+    del rows
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step, per = 0, -(-len(target) // STEP_WINDOWS)
     epochs = min(12, max(3, round(STEPS / per)))
@@ -256,7 +259,7 @@ def train(texts: list[str], y: np.ndarray, rate: float = 0.01, seed: int = 5) ->
     for half, other in ((0, 1), (1, 0)):
         net.odds = known[other]
         some = column(halves[half])
-        z[halves[half]] = np.concatenate([net.suspect(tokens(some.slice(a, b - a))) for a, b in slabs(some, 1 << 20)])
+        z[halves[half]] = np.concatenate([net.suspect(tokens(some.slice(a, b - a))) for a, b in slabs(some, TRAIN_SLAB)])
     net.least, net.calibration = float(z.min()), _logistic(z, y)
     net.odds = _odds(column(order), y[order])
     return net
@@ -308,7 +311,9 @@ def _logistic(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 4, held: int = 2, rows: int = ROWS) -> Network:
     """Train on at most `rows` labelled texts, none of them with crc32(doc_id) mod `mod` equal to `held`."""
     t = fetched(sample(docs, labels, label, remainder("doc_id", mod) != held, rows))
-    return train(t["text"].to_pylist(), (t["y"].to_numpy() > 0).astype(np.float32))
+    texts, y = t["text"].to_pylist(), (t["y"].to_numpy() > 0).astype(np.float32)
+    del t
+    return train(texts, y)
 
 
 def scored(docs: DataFrame, net: Network, mod: int = 4, held: int = 2, threshold: float = 0.3) -> DataFrame:
