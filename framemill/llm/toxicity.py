@@ -1,6 +1,6 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A token's input joins a word embedding with one composed of its characters (the embeddings of hashed prefixes and inner 4-grams of its bytes) and three fixed numbers: the log odds of its word, and the sum and the largest of those of its characters' buckets. Two recurrent layers read a window in either direction, attention pools their states, and a linear layer gives the window's logit. All overlapping windows of a text are scored; the largest logit, calibrated, is the text's score.
+A token's input joins a word embedding with one composed of its characters (the embeddings of hashed prefixes and of the 4-grams at every byte of it) and three fixed numbers: the log odds of its word, and the sum and the largest of those of its characters' buckets. Two recurrent layers read a window in either direction, attention pools their states, and a linear layer gives the window's logit. A word of more than PIECE bytes (a compound, a run of text without spaces) is several tokens: overlapping pieces that together have all its 4-grams, each with the whole word's bucket. All overlapping windows of a text are scored; the largest logit, calibrated, is the text's score.
 
 Training uses a bounded sample (labelled.ROWS). The log odds of either half of it come from the other half, so that the network learns what they are worth on texts that they don't know; for scoring they come from the whole sample. Everything else is trained by back-propagation through time on windows: of texts labelled 1 the most suspect one, of the others that and random ones. A logistic over the largest logit calibrates texts.
 
@@ -27,8 +27,10 @@ FIXED = 3
 #: Words of a window, and from one window's start to the next.
 WINDOW, STRIDE = 32, 24
 PREFIXES = range(3, 9)
-INNER = range(1, 9)
-GRAMS = len(PREFIXES) + len(INNER)
+#: Bytes of a token, and from one piece of a longer word to the next: what has PIECE - PIECE_STEP bytes lies whole in some piece.
+PIECE, PIECE_STEP = 24, 12
+FOURS = range(PIECE - 3)
+GRAMS = len(PREFIXES) + len(FOURS)
 GRAM_SCALE = 0.3
 PRIOR = 8
 #: Steps of training, about, and windows of a step.
@@ -44,30 +46,42 @@ FOLD[65:91] += 32
 @dataclass
 class Tokens:
     first: np.ndarray  # of each text, its first token
-    kind: np.ndarray  # of each token, its distinct word's number
-    word: np.ndarray  # of each distinct word, its bucket
-    grams: np.ndarray  # of each distinct word, its GRAMS buckets; 0 is none
+    kind: np.ndarray  # of each token, the number of its distinct word or piece
+    word: np.ndarray  # of each distinct one, its word's bucket
+    grams: np.ndarray  # of each distinct one, its GRAMS buckets; 0 is none
 
 
 def tokens(column: pa.Array) -> Tokens:
     data, offsets = raw(column)
     w = words(data, offsets)
-    distinct, at, kind = np.unique(w.hashes, return_index=True, return_inverse=True)
-    size = w.ends[at] - w.starts[at]
-    wide = PREFIXES.stop + 4
-    place = np.minimum(w.starts[at][:, None] + np.arange(wide), max(len(data) - 1, 0))
-    b = FOLD[data[place]] if len(at) else np.zeros((0, wide), np.uint8)
-    b = np.where(np.arange(wide) < size[:, None], b, 0)
-    prefix = np.cumsum(_BYTE[b] * _POWER[:wide], axis=1)
-    grams = np.zeros((len(at), GRAMS), np.int32)
-    bucket = lambda h: (h % np.uint64(GRAM_BUCKETS - 1)).astype(np.int32) + 1
+    length = w.ends - w.starts
+    k = np.maximum(1, -(-(length - PIECE) // PIECE_STEP) + 1)
+    of = np.repeat(np.arange(len(k)), k)
+    turn = np.arange(len(of)) - np.repeat(np.cumsum(k) - k, k)
+    keys = w.hashes[of]
+    later = turn > 0
+    keys[later] = mix(keys[later] + turn[later].astype(np.uint64))
+    _, at, kind = np.unique(keys, return_index=True, return_inverse=True)
+    turn, of = turn[at], of[at]
+    size = np.minimum(length[of], PIECE)
+    begin = w.starts[of] + np.minimum(turn * PIECE_STEP, length[of] - size)
+    place = np.minimum(begin[:, None] + np.arange(PIECE), max(len(data) - 1, 0))
+    b = FOLD[data[place]] if len(at) else np.zeros((0, PIECE), np.uint8)
+    b = np.where(np.arange(PIECE) < size[:, None], b, 0)
+    wide = PREFIXES.stop - 1
+    prefix = np.cumsum(_BYTE[b[:, :wide]] * _POWER[:wide], axis=1)
+    grams = np.zeros((len(at), GRAMS), np.uint16)
+    bucket = lambda h: h % np.uint64(GRAM_BUCKETS - 1) + np.uint64(1)
     for i, n in enumerate(PREFIXES):
-        grams[:, i] = np.where(size >= n, bucket(mix(prefix[:, n - 1] + np.uint64(n))), 0)
-    four = b.astype(np.uint64)
-    for i, j in enumerate(INNER):
-        code = four[:, j] | four[:, j + 1] << np.uint64(8) | four[:, j + 2] << np.uint64(16) | four[:, j + 3] << np.uint64(24)
-        grams[:, len(PREFIXES) + i] = np.where(size >= j + 4, bucket(mix(code + np.uint64(1 << 40))), 0)
-    return Tokens(w.first, kind, (distinct % np.uint64(WORD_BUCKETS)).astype(np.int32), grams)
+        on = np.flatnonzero((size >= n) & (turn == 0))
+        grams[on, i] = bucket(mix(prefix[on, n - 1] + np.uint64(n)))
+    for j in FOURS:
+        on = np.flatnonzero(size >= j + 4)
+        four = b[on, j : j + 4].astype(np.uint64)
+        code = four[:, 0] | four[:, 1] << np.uint64(8) | four[:, 2] << np.uint64(16) | four[:, 3] << np.uint64(24)
+        grams[on, len(PREFIXES) + j] = bucket(mix(code + np.uint64(1 << 40)))
+    first = np.concatenate([[0], np.cumsum(k)])[w.first]
+    return Tokens(first, kind, (w.hashes[of] % np.uint64(WORD_BUCKETS)).astype(np.int32), grams)
 
 
 def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,7 +151,10 @@ class Network:
         return np.stack([self.odds[0][t.word], GRAM_SCALE * g.sum(axis=1), g.max(axis=1)], axis=1)
 
     def inputs(self, t: Tokens) -> np.ndarray:
-        chars = sum(self.p["gram"][t.grams[:, i]] for i in range(GRAMS))
+        chars = np.zeros((len(t.grams), EMBED), np.float32)
+        for g in t.grams.T:
+            on = np.flatnonzero(g)
+            chars[on] += self.p["gram"][g[on]]
         return np.concatenate([self.fixed(t), self.p["word"][t.word], GRAM_SCALE * chars], axis=1)
 
     def forward(self, x: np.ndarray, at: np.ndarray, mask: np.ndarray | None, keep: bool = False) -> tuple[np.ndarray, tuple]:
@@ -291,8 +308,8 @@ def _slopes(net: Network, ids: np.ndarray, grams: np.ndarray, fixed: np.ndarray,
         dx += dg @ p[f"x{s}"].T
     out["word"], out["gram"] = np.zeros_like(p["word"]), np.zeros_like(p["gram"])
     np.add.at(out["word"], ids.ravel(), dx[:, FIXED : FIXED + EMBED])
-    for i in range(GRAMS):
-        np.add.at(out["gram"], flat[:, i], GRAM_SCALE * dx[:, FIXED + EMBED :])
+    row, column = np.nonzero(flat)
+    np.add.at(out["gram"], flat[row, column], GRAM_SCALE * dx[row, FIXED + EMBED :])
     return out
 
 

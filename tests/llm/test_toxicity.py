@@ -80,3 +80,32 @@ def test_scores_of_frames(spark):
     assert t.without_toxic(docs.limit(0), net).count() == 0
     flat = t.fit(docs, labels.limit(0))
     assert (t.scored(docs, flat).toPandas().score == 0).all()
+
+
+def test_every_byte_of_a_word_is_read():
+    four = len(t.PREFIXES)
+    for word in ("a", "abcd", "donaudampfschifffahrts", "x" * 8 + "abcdefghijklmnopqrstuvwxyz0123456789", "\u8fd9\u662f\u4e00\u6bb5\u6ca1\u6709\u7a7a\u683c\u7684\u6587\u5b57" * 40):
+        raw = word.encode()
+        got = t.tokens(pa.array(["no", word, "no"]))
+        assert got.first[0] == 0 and got.first[1] == 1 and got.first[3] - got.first[2] == 1
+        own = got.kind[got.first[1] : got.first[2]]
+        seen = set(got.grams[own][:, four:].ravel().tolist()) - {0}
+        alone = [t.tokens(pa.array([raw[i : i + 4]], pa.binary())).grams[0, four] for i in range(len(raw) - 3)]
+        assert seen == {int(g) for g in alone}
+        assert len(set(got.word[own].tolist())) == 1
+    assert t.tokens(pa.array(["abcdefghijklmnopqrstuvwxyz" * 9])).first[1] > 10
+    a, b = (t.tokens(pa.array(["unabhaengigkeits" + x])).grams for x in ("erklaerung", "bestrebung"))
+    assert (a != b).any()
+
+
+def test_insults_behind_other_bytes_count():
+    x, y = texts(1500, 1)
+    net = t.train(x, y)
+    rng = random.Random(9)
+    glue = ["".join(rng.choice("abcdefghijklmnop") for _ in range(14)) for _ in range(100)]
+    clean = [sentence(rng, 20) for _ in glue]
+    low, high = (net.score(pa.array([f"{c} {g}{end} {c}" for c, g in zip(clean, glue)])) for end in ("", "scoundrel"))
+    assert (low < 0.3).mean() > 0.9 and (high >= 0.3).mean() > 0.9
+    run = "\u3042\u308a\u304c\u3068\u3046" * 30
+    low, high = net.score(pa.array([run, run + "scoundrel" + run]))
+    assert high >= 0.3 > low
