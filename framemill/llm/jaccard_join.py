@@ -4,7 +4,7 @@ A text's set is that of its word 5-grams (words as in words.ALNUM, A-Z lower-cas
 
 Every node follows paths of sampled shared tokens: in each run the root splits all nodes by one sampled token (the element that a run's random order puts first, a coordinate of a MinHash signature), and a bucket of more than LIMIT nodes splits again on SPLITS more tokens that its path draws. Small buckets are compared by brute force. So are, in pairs of blocks, buckets that splitting no longer makes smaller (texts that are nearly all alike) or that are DEPTH levels deep, so no bucket is capped. Runs are repeated until a pair at the threshold has met with probability `recall`.
 
-A pair is judged in one bucket only, the least of the leaves that both nodes are in, so no list of pairs needs to be made distinct. First signatures alone decide who has a possible partner in which bucket (a pair below MIN_AGREE of COORDINATES equal coordinates isn't: at similarity 0.8 that is 5 standard deviations low), then only those nodes' sets are made again from their texts, sent to these buckets and compared exactly. A bucket gives each node's count of links, weighted by the copies that the other has, and a spanning forest of its links, never a list of all pairs. Classes are the connected components.
+A pair is judged in one bucket only, the least of the leaves that both nodes are in, so no list of pairs needs to be made distinct. First signatures alone decide who has a possible partner in which bucket (a pair with fewer equal coordinates than `agreement_for` gives isn't: at the threshold that is a tenth as likely as never to meet), then only those nodes' sets are made again from their texts, sent to these buckets and compared exactly. A bucket gives each node's count of links, weighted by the copies that the other has, and a spanning forest of its links, never a list of all pairs. Classes are the connected components.
 
 Result: one row per row of the input. Null ids keep their rows (the class id is the least id that isn't null). Repeated rows are copies. Other columns are ignored.
 """
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .shared import raw, shared_dir, text_slabs, texts_of, written
 from .words import grams, mix, words
 
-COORDINATES = 64
-MIN_AGREE = 34
+#: Coordinates of a signature, unless the runs of a low similarity need more, and the most there can be.
+COORDINATES, MOST = 64, 1024
 #: Nodes of a bucket, or of one side of a pair of blocks, that are compared in one place.
 LIMIT = 1024
 SPLITS = 2
@@ -32,12 +32,33 @@ DEPTH = 4
 _rng = np.random.default_rng(8128)
 _A = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
+_A = np.concatenate([_A, _rng.integers(1, 1 << 63, MOST - COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)])
+_B = np.concatenate([_B, _rng.integers(0, 1 << 63, MOST - COORDINATES, dtype=np.uint64)])
 
 
 def runs_for(similarity: float, recall: float) -> int:
     """Runs after which a pair at the threshold has met with probability `recall`, even if its buckets split to the last level."""
     one = similarity * (1 - (1 - similarity) ** SPLITS) ** (DEPTH - 1)
-    return min(COORDINATES // 2, max(1, math.ceil(math.log(1 - recall) / math.log(1 - one))))
+    runs = max(1, math.ceil(math.log(1 - recall) / math.log(1 - one)))
+    if runs > MOST // 2:
+        raise ValueError(f"similarity {similarity} at recall {recall} needs {runs} runs; {MOST // 2} are possible")
+    return runs
+
+
+def coordinates_for(runs: int) -> int:
+    """Coordinates of a signature: half of them at least are left to splits."""
+    return max(COORDINATES, 2 * runs)
+
+
+def agreement_for(similarity: float, recall: float, coordinates: int) -> int:
+    """The most equal coordinates that a pair at the threshold falls short of with probability (1 - recall) / 10 at most (a binomial tail)."""
+    below, least = 0.0, 0
+    while least < coordinates:
+        below += math.comb(coordinates, least) * similarity**least * (1 - similarity) ** (coordinates - least)
+        if below > (1 - recall) / 10:
+            break
+        least += 1
+    return least
 
 
 def sets(column: pa.Array, k: int) -> list[np.ndarray]:
@@ -60,14 +81,14 @@ def fingerprint(s: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
 
 
-def signatures(parts: list[np.ndarray]) -> np.ndarray:
-    """COORDINATES MinHash values (uint32) of each set; zeros for empty ones."""
-    out = np.zeros((len(parts), COORDINATES), np.uint32)
+def signatures(parts: list[np.ndarray], coordinates: int = COORDINATES) -> np.ndarray:
+    """MinHash values (uint32) of each set; zeros for empty ones."""
+    out = np.zeros((len(parts), coordinates), np.uint32)
     full = [i for i, s in enumerate(parts) if len(s)]
     if full:
         h = np.concatenate([parts[i] for i in full])
         starts = np.cumsum([0, *(len(parts[i]) for i in full[:-1])])
-        for c in range(COORDINATES):
+        for c in range(coordinates):
             out[full, c] = np.minimum.reduceat((h * _A[c] + _B[c]) >> np.uint64(32), starts).astype(np.uint32)
     return out
 
@@ -105,17 +126,17 @@ def grouped(f: Callable[[list[pa.Table]], Iterator[pa.RecordBatch]], key: str) -
     return run
 
 
-def _matrix(column: pa.ChunkedArray, kind: str, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
+def _matrix(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
-def _possible(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i, j) of a bucket's rows that are to be judged in it: in both blocks if it has two, in no lesser leaf together, with enough equal coordinates."""
+def _possible(t: pa.Table, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of a bucket's rows that are to be judged in it: in both blocks if it has two, in no lesser leaf together, with at least `least` equal coordinates."""
     n, home = len(t), t["leaf"][0].as_py()
     lo, hi, block = t["lo"][0].as_py(), t["hi"][0].as_py(), t["block"].to_numpy()
     left = np.flatnonzero(block == lo)
     right = left if lo == hi else np.flatnonzero(block == hi)
-    sig = _matrix(t["sig"], "<u2", COORDINATES)
+    sig = _matrix(t["sig"], "<u2")
     lists = [x[x < home] for x in (np.array(y, np.int64) for y in t["leaves"].to_pylist())]
     step = max(1, (1 << 21) // max(1, len(right) * 8))
     values, code = np.unique(np.concatenate(lists), return_inverse=True)
@@ -125,10 +146,10 @@ def _possible(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         member[row, code] = 1
     for at in range(0, len(left), step):
         a = left[at : at + step]
-        agree = np.zeros((len(a), len(right)), np.uint8)
-        for c in range(COORDINATES):
+        agree = np.zeros((len(a), len(right)), np.uint8 if sig.shape[1] < 256 else np.uint16)
+        for c in range(sig.shape[1]):
             agree += sig[a, c][:, None] == sig[right, c][None, :]
-        i, j = np.nonzero(agree >= MIN_AGREE)
+        i, j = np.nonzero(agree >= least)
         i, j = a[i], right[j]
         if lo == hi:
             i, j = i[i < j], j[i < j]
@@ -142,16 +163,20 @@ def _possible(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield i, j
 
 
-def _wanted(t: pa.Table) -> Iterator[pa.RecordBatch]:
+def _wanted(least: int) -> Callable[[pa.Table], Iterator[pa.RecordBatch]]:
     """The nodes of a bucket that have a possible partner there."""
-    keep = np.zeros(len(t), bool)
-    for i, j in _possible(t):
-        keep[i] = keep[j] = True
-    if keep.any():
-        yield from t.filter(pa.array(keep)).combine_chunks().to_batches()
+
+    def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        keep = np.zeros(len(t), bool)
+        for i, j in _possible(t, least):
+            keep[i] = keep[j] = True
+        if keep.any():
+            yield from t.filter(pa.array(keep)).combine_chunks().to_batches()
+
+    return run
 
 
-def _linked(similarity: float) -> Callable[[pa.Table], Iterator[pa.RecordBatch]]:
+def _linked(similarity: float, least: int) -> Callable[[pa.Table], Iterator[pa.RecordBatch]]:
     """Exact comparison of a bucket: each node's links, and a forest of them."""
 
     def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -168,7 +193,7 @@ def _linked(similarity: float) -> Callable[[pa.Table], Iterator[pa.RecordBatch]]
             return x
 
         dense = None
-        for i, j in _possible(t):
+        for i, j in _possible(t, least):
             if dense is None and len(i) > 8 * n:
                 dense = _incidence(parts)
             if dense is not None:
@@ -229,6 +254,8 @@ def linked_rows(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, reca
     """doc_id, text_hash, fp, label (of the class), class_id, n_links for every row of docs."""
     spark = docs.sparkSession
     top, runs = shared_dir(spark), runs_for(similarity, recall)
+    coordinates = coordinates_for(runs)
+    agreement = agreement_for(similarity, recall, coordinates)
     df = texts_of(docs, id_col, text_col)
     kind = df.schema["doc_id"].dataType.simpleString()
     parallel = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -236,7 +263,7 @@ def linked_rows(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, reca
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for slab in text_slabs(batches):
             parts = sets(slab.column(1), shingle)
-            sig = signatures(parts)
+            sig = signatures(parts, coordinates)
             yield pa.RecordBatch.from_arrays([slab.column(0), slab.column(2), pa.array([fingerprint(s) for s in parts], pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary())], names=["doc_id", "text_hash", "fp", "sig"])
 
     rows = written(df.withColumn("text_hash", F.xxhash64("text")).mapInArrow(signed, f"doc_id {kind}, text_hash long, fp binary, sig binary"), f"{top}/rows")
@@ -244,7 +271,7 @@ def linked_rows(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, reca
 
     def root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sig = _matrix(b.column(1), "<u4", COORDINATES) if len(b) else np.zeros((0, COORDINATES), np.uint32)
+            sig = _matrix(b.column(1), "<u4") if len(b) else np.zeros((0, coordinates), np.uint32)
             run = np.tile(np.arange(runs), len(b))
             path = _child(np.zeros(len(run), np.uint64), run, sig[:, :runs].ravel())
             yield pa.RecordBatch.from_arrays([pa.array(path), b.column(0).take(pa.array(np.repeat(np.arange(len(b)), runs)))], names=["path", "fp"])
@@ -254,10 +281,10 @@ def linked_rows(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, reca
             if not len(b):
                 continue
             path = b.column(0).to_numpy().view(np.uint64)
-            sig = _matrix(b.column(3), "<u4", COORDINATES)
+            sig = _matrix(b.column(3), "<u4")
             # a path draws among the coordinates that no run has at its root
-            c = np.stack([(mix(path + np.uint64(7 * s + 1)) % np.uint64(COORDINATES - runs)).astype(np.int64) + runs for s in range(SPLITS)], axis=1)
-            c[:, 1:] = np.where(c[:, 1:] == c[:, :1], runs + (c[:, 1:] - runs + 1) % (COORDINATES - runs), c[:, 1:])
+            c = np.stack([(mix(path + np.uint64(7 * s + 1)) % np.uint64(coordinates - runs)).astype(np.int64) + runs for s in range(SPLITS)], axis=1)
+            c[:, 1:] = np.where(c[:, 1:] == c[:, :1], runs + (c[:, 1:] - runs + 1) % (coordinates - runs), c[:, 1:])
             child = _child(np.repeat(path, SPLITS), c.ravel(), sig[np.repeat(np.arange(len(b)), SPLITS), c.ravel()])
             at = pa.array(np.repeat(np.arange(len(b)), SPLITS))
             yield pa.RecordBatch.from_arrays([pa.array(child), b.column(1).take(at), b.column(2).take(at)], names=["path", "fp", "above"])
@@ -288,7 +315,7 @@ def linked_rows(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, reca
     placed = placed.withColumn("bucket", F.xxhash64("leaf", "lo", "hi"))
     order = ["bucket", "leaf", "lo", "hi", "block", "fp", "leaves", "copies", "sig"]
     schema = "bucket long, leaf long, lo long, hi long, block long, fp binary, leaves array<long>, copies long, sig binary"
-    first = placed.join(known, "fp").select(order).repartition(parallel, "bucket").sortWithinPartitions("bucket").mapInArrow(grouped(_wanted, "bucket"), schema)
+    first = placed.join(known, "fp").select(order).repartition(parallel, "bucket").sortWithinPartitions("bucket").mapInArrow(grouped(_wanted(agreement), "bucket"), schema)
     first = written(first, f"{top}/wanted")
 
     wanted = first.select("fp").distinct().join(known, "fp").select("fp", "doc_id", "text_hash")
@@ -300,7 +327,7 @@ def linked_rows(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, reca
             yield pa.RecordBatch.from_arrays([slab.column(0).take(pa.array(keep, pa.int64())), pa.array([parts[i].tobytes() for i in keep], pa.binary())], names=["fp", "elements"])
 
     texts = df.withColumn("text_hash", F.xxhash64("text")).alias("d").join(wanted.alias("w"), F.expr("d.doc_id <=> w.doc_id and d.text_hash = w.text_hash")).select("fp", "text").mapInArrow(remade, "fp binary, elements binary").dropDuplicates(["fp"])
-    found = first.join(texts, "fp").select(*order, "elements").repartition(parallel, "bucket").sortWithinPartitions("bucket").mapInArrow(grouped(_linked(similarity), "bucket"), "fp binary, other binary, links long")
+    found = first.join(texts, "fp").select(*order, "elements").repartition(parallel, "bucket").sortWithinPartitions("bucket").mapInArrow(grouped(_linked(similarity, agreement), "bucket"), "fp binary, other binary, links long")
     found = written(found, f"{top}/links")
 
     label = components(found, top)

@@ -89,3 +89,25 @@ def test_one_of_each_stays(spark):
     alone = [r for r in rows if not words(r[1])]
     assert sorted(i for i, t in got if i is not None and words(t)) == sorted(c for c in classes if c is not None and c not in {r[0] for r in alone})
     assert sum(got[r[0], r[1]] for r in alone) >= len(alone) and got[None, "a text without an id but with words"] == 1
+
+
+def half_alike(seed, pairs=150):
+    """Pairs of texts of which just over half of all 5-grams are shared."""
+    rng, rows = random.Random(seed), []
+    for _ in range(pairs):
+        base = [f"w{rng.randrange(10**9)}" for _ in range(84)]
+        rows += [(len(rows) + k, " ".join([*base, *(f"v{rng.randrange(10**9)}" for _ in range(39))]), "en", "s", 1) for k in (0, 1)]
+    return rows
+
+
+def test_low_similarities_lose_no_pairs(spark):
+    rows = half_alike(7)
+    got = sorted(map(tuple, j.jaccard_join(frame(spark, rows), similarity=0.5).collect()), key=key)
+    assert got == brute(rows, 0.5) and all(n == 1 for _, _, n in got)
+
+
+def test_agreement_and_runs_follow_the_similarity():
+    assert j.agreement_for(0.8, 0.99999, 64) >= 33 > j.agreement_for(0.5, 0.99999, 64) > 0
+    assert j.runs_for(0.5, 0.99999) > 32 and j.coordinates_for(j.runs_for(0.8, 0.99999)) == j.COORDINATES
+    with pytest.raises(ValueError):
+        j.runs_for(0.1, 0.99999)
