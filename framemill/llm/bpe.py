@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-Each task replays the merges over its part of the corpus: the distinct pre-tokens of a slab of texts that the task hasn't met yet are laid end to end, an inverted index maps each mergeable token pair to the positions where it stands, and merges are applied in rank order, touching only the merged places' neighbours. Merges in different words commute, so a wave applies the lowest pair of every word at once, as arrays; pre-tokens of LONG bytes and more, which would need very many waves, go through the same index as a heap of ranks with lists of positions. A pre-token's ids depend on nothing but itself, so the corpus can be dealt over tasks without a shuffle, and a lost task is just run again.
+Each task replays the merges over its part of the corpus: the distinct pre-tokens of a slab of texts that the task hasn't met yet are laid end to end. Merges in different words commute, so a wave applies the lowest pair of every word at once, as arrays, over all symbols that are left; no index is kept. Pre-tokens of LONG bytes and more, which would need very many waves, go through an inverted index from each mergeable token pair to the positions where it stands, merged in rank order by a heap, touching only the merged places' neighbours. A pre-token's ids depend on nothing but itself, so the corpus can be dealt over tasks without a shuffle, and a lost task is just run again.
 
 Nulls and empty texts give no ids. Repeated rows are encoded as often as they come. Other columns are ignored.
 """
