@@ -1,17 +1,20 @@
 """N-gram Jaccard self-join by chosen paths.
 
-A text's set is that of its word 5-grams (words as in words.ALNUM, A-Z lower-cased; a text of fewer words has all of them as its only element; texts without words have no set and no links). Texts with equal sets are one node.
+A text's set is that of its word 5-grams (words as in words.ALNUM, A-Z lower-cased; a text of fewer words has all of them as its only element; texts without words have no set and no links). Elements are compared by 64-bit hashes; texts are one node if their sets have equal fingerprints of 192 bits, made from two independent hashes of every element.
 
 Every node follows paths of sampled shared tokens: in each run the root splits all nodes by one sampled token (the element that a run's random order puts first, a coordinate of a MinHash signature), and a bucket of more than LIMIT nodes splits again on SPLITS more tokens that its path draws. Small buckets are compared by brute force. So are, in pairs of blocks, buckets that splitting no longer makes smaller (texts that are nearly all alike) or that are DEPTH levels deep, so no bucket is capped. Runs are repeated until a pair at the threshold has met with probability `recall`.
 
 A pair is judged in one bucket only, the least of the leaves that both nodes are in, so no list of pairs needs to be made distinct. First signatures alone decide who has a possible partner in which bucket (a pair with fewer equal coordinates than `agreement_for` gives isn't: at the threshold that is a tenth as likely as never to meet), then only those nodes' sets are made again from their texts, sent to these buckets and compared exactly. A bucket gives each node's count of links, weighted by the copies that the other has, and a spanning forest of its links, never a list of all pairs. Classes are the connected components.
 
+Joins on keys that many rows can have (a path, an end of a link, a class, a set) broadcast those with over 1/2000 of the rows, see shared.hot_joined. Texts are shuffled only if over SENT nodes are compared exactly; else these are sent to the texts.
+
 Result: one row per row of the input. Null ids keep their rows (the class id is the least id that isn't null). Repeated rows are copies. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import raw, shared_dir, text_slabs, texts_of, written
+from .shared import hot_joined, raw, shared_dir, text_slabs, texts_of, written
 from .words import grams, mix, words
 
 #: Coordinates of a signature, unless the runs of a low similarity need more, and the most there can be.
@@ -29,6 +32,8 @@ COORDINATES, MOST = 64, 1024
 LIMIT = 1024
 SPLITS = 2
 DEPTH = 4
+#: Nodes to be compared exactly that are broadcast to their texts (under 100 bytes each).
+SENT = 500_000
 _rng = np.random.default_rng(8128)
 _A = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
@@ -61,24 +66,32 @@ def agreement_for(similarity: float, recall: float, coordinates: int) -> int:
     return least
 
 
-def sets(column: pa.Array, k: int) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text."""
+def sets(column: pa.Array, k: int, marked: bool = False) -> tuple[list[np.ndarray], list[bytes | None]]:
+    """Sorted distinct shingle hashes of each text; with `marked`, their fingerprints as well (None for texts without words)."""
     data, offsets = raw(column)
     w = words(data, offsets)
-    g = grams(w.hashes, k)
-    out = []
+    other = w.other_hashes() if marked else w.hashes
+    g, g2 = grams(w.hashes, k), grams(other, k) if marked else None
+    out, marks = [], []
     for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
         if b - a >= k:
-            s = g[a : b - k + 1].copy()
-            s.sort()
-            out.append(s[np.r_[True, s[1:] != s[:-1]]])
+            s = g[a : b - k + 1]
+            order = np.argsort(s) if marked else None
+            s = s[order] if marked else np.sort(s)
+            new = np.r_[True, s[1:] != s[:-1]]
+            out.append(s[new])
+            if marked:
+                marks.append(fingerprint(out[-1], g2[a : b - k + 1][order[new]]))
         else:
-            out.append(grams(w.hashes[a:b], b - a) ^ np.uint64(b - a) if b > a else g[:0])
-    return out
+            size = np.uint64(b - a)
+            out.append(grams(w.hashes[a:b], b - a) ^ size if b > a else g[:0])
+            if marked:
+                marks.append(fingerprint(out[-1], grams(other[a:b], b - a) ^ size) if b > a else None)
+    return out, marks
 
 
-def fingerprint(s: np.ndarray) -> bytes | None:
-    return xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
+def fingerprint(s: np.ndarray, other: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(s.tobytes()) + int(other.sum(dtype=np.uint64)).to_bytes(8, "little")
 
 
 def signatures(parts: list[np.ndarray], coordinates: int = COORDINATES) -> np.ndarray:
@@ -97,10 +110,10 @@ def _child(path: np.ndarray, coordinate: np.ndarray, value: np.ndarray) -> np.nd
     return mix(path * np.uint64(0x9E3779B97F4A7C15) + (coordinate.astype(np.uint64) << np.uint64(32)) + value.astype(np.uint64)).view(np.int64)
 
 
-def _sized(nodes: DataFrame, path: str) -> DataFrame:
-    """Nodes (path, above, fp) with their bucket's size, without those alone in theirs."""
+def _sized(nodes: DataFrame, path: str, rows: int) -> DataFrame:
+    """Nodes (path, fp, above) with their bucket's size, without those alone in theirs; rows: about how many there are."""
     size = nodes.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
-    return written(nodes.join(size, "path"), path)
+    return written(hot_joined(nodes, size, "path", "size", rows, ["fp"]).where("size is not null"), path)
 
 
 def grouped(f: Callable[[list[pa.Table]], Iterator[pa.RecordBatch]], key: str) -> Callable:
@@ -233,21 +246,24 @@ def _both(bits: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def components(edges: DataFrame, top: str) -> DataFrame:
-    """(node, label): the least node of each node's component, by alternating large and small stars. Every step is written; a node of very many edges is only aggregated by min and joined, never gathered."""
-    spark, e, step, before = edges.sparkSession, edges.selectExpr("fp as a", "other as b").where("a <> b"), 0, None
+    """(node, label): the least node of each node's component, by alternating large and small stars. Every step is written; a node of very many edges is only aggregated by min, and its minimum broadcast."""
+    e, step, before = edges.selectExpr("fp as a", "other as b").where("a <> b"), 0, None
+    rows = e.count()
     while True:
         both = e.union(e.selectExpr("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        e = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        star = hot_joined(both, low, "a", "n", 2 * rows, ["b"])
+        e = star.where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a <> b").distinct()
         e = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = e.groupBy("a").agg(F.min("b").alias("m"))
-        joined = e.join(low, "a")
-        e = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        e = written(e, f"{top}/star{step}")
+        e = written(e, f"{top}/large{step}")
+        low = e.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        star = hot_joined(e, low, "a", "n", rows, ["b"])
+        e = star.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        e = written(e, f"{top}/small{step}")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return e.selectExpr("a as node", "b as label")
-        before, step = now, step + 1
+        rows, before, step = now[0], now, step + 1
 
 
 def linked_rows(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, recall: float = 0.99999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -262,11 +278,11 @@ def linked_rows(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, reca
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for slab in text_slabs(batches):
-            parts = sets(slab.column(1), shingle)
+            parts, marks = sets(slab.column(1), shingle, marked=True)
             sig = signatures(parts, coordinates)
-            yield pa.RecordBatch.from_arrays([slab.column(0), slab.column(2), pa.array([fingerprint(s) for s in parts], pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary())], names=["doc_id", "text_hash", "fp", "sig"])
+            yield pa.RecordBatch.from_arrays([slab.column(0), slab.column(2), pa.array(range(len(slab)), pa.int32()), pa.array(marks, pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary())], names=["doc_id", "text_hash", "place", "fp", "sig"])
 
-    rows = written(df.withColumn("text_hash", F.xxhash64("text")).mapInArrow(signed, f"doc_id {kind}, text_hash long, fp binary, sig binary"), f"{top}/rows")
+    rows = written(df.withColumn("text_hash", F.xxhash64("text")).mapInArrow(signed, f"doc_id {kind}, text_hash long, place int, fp binary, sig binary"), f"{top}/rows")
     nodes = written(rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min_by("text_hash", F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("text_hash"), F.count("*").alias("copies"), F.min("sig").alias("sig")), f"{top}/nodes")
 
     def root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,7 +306,7 @@ def linked_rows(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, reca
             yield pa.RecordBatch.from_arrays([pa.array(child), b.column(1).take(at), b.column(2).take(at)], names=["path", "fp", "above"])
 
     n = nodes.count()
-    level = _sized(nodes.select("fp", "sig").mapInArrow(root, "path long, fp binary").withColumn("above", F.lit(n).cast("long")), f"{top}/level1")
+    level = _sized(nodes.select("fp", "sig").mapInArrow(root, "path long, fp binary").withColumn("above", F.lit(n).cast("long")), f"{top}/level1", n * runs)
     leaves = []
     for depth in range(1, DEPTH + 1):
         final = F.col("size") <= LIMIT
@@ -300,9 +316,10 @@ def linked_rows(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, reca
             final = F.lit(True)
         leaves.append(level.where(final).select("path", "fp", "size"))
         big = level.where(~final)
-        if depth == DEPTH or big.isEmpty():
+        many = 0 if depth == DEPTH else big.count()
+        if not many:
             break
-        level = _sized(big.select("path", "fp", F.col("size").alias("above")).join(nodes.select("fp", "sig"), "fp").select("path", "fp", "above", "sig").mapInArrow(split, "path long, fp binary, above long"), f"{top}/level{depth + 1}")
+        level = _sized(big.select("path", "fp", F.col("size").alias("above")).join(nodes.select("fp", "sig"), "fp").select("path", "fp", "above", "sig").mapInArrow(split, "path long, fp binary, above long"), f"{top}/level{depth + 1}", many * SPLITS)
     leaf = leaves[0]
     for x in leaves[1:]:
         leaf = leaf.union(x)
@@ -318,12 +335,14 @@ def linked_rows(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, reca
     first = placed.join(known, "fp").select(order).repartition(parallel, "bucket").sortWithinPartitions("bucket").mapInArrow(grouped(_wanted(agreement), "bucket"), schema)
     first = written(first, f"{top}/wanted")
 
-    wanted = first.select("fp").distinct().join(known, "fp").select("fp", "doc_id", "text_hash")
+    wanted = written(first.select("fp").distinct().join(known, "fp").select("fp", "doc_id", "text_hash"), f"{top}/partners")
+    if wanted.count() <= SENT:
+        wanted = F.broadcast(wanted)
 
     def remade(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for slab in text_slabs(batches):
-            parts = sets(slab.column(1), shingle)
-            keep = [i for i, s in enumerate(parts) if fingerprint(s) == slab.column(0)[i].as_py()]
+            parts, marks = sets(slab.column(1), shingle, marked=True)
+            keep = [i for i, m in enumerate(marks) if m == slab.column(0)[i].as_py()]
             yield pa.RecordBatch.from_arrays([slab.column(0).take(pa.array(keep, pa.int64())), pa.array([parts[i].tobytes() for i in keep], pa.binary())], names=["fp", "elements"])
 
     texts = df.withColumn("text_hash", F.xxhash64("text")).alias("d").join(wanted.alias("w"), F.expr("d.doc_id <=> w.doc_id and d.text_hash = w.text_hash")).select("fp", "text").mapInArrow(remade, "fp binary, elements binary").dropDuplicates(["fp"])
@@ -333,10 +352,12 @@ def linked_rows(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, reca
     label = components(found, top)
     linked = found.groupBy("fp").agg(F.sum("links").alias("links")).join(label, F.col("fp") == F.col("node"), "left").select("fp", "links", F.coalesce("label", "fp").alias("label")).join(nodes.select("fp", "doc_id"), "fp")
     linked = written(linked, f"{top}/linked")
-    least = linked.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    classes = nodes.join(linked.join(least, "label").select("fp", "label", "links", "class_id"), "fp", "left")
-    classes = written(classes.select("fp", F.coalesce("label", "fp").alias("label"), F.coalesce("class_id", "doc_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), f"{top}/classes")
-    return rows.select("doc_id", "text_hash", "fp").join(classes, "fp", "left").select("doc_id", "text_hash", "fp", "label", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    least = linked.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n"))
+    classed = hot_joined(linked, least, "label", "n", linked.count(), ["fp"])
+    classes = nodes.join(classed.select("fp", "label", "links", "class_id"), "fp", "left")
+    classes = written(classes.select("fp", "copies", F.coalesce("label", "fp").alias("label"), F.coalesce("class_id", "doc_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), f"{top}/classes")
+    out = hot_joined(rows.select("doc_id", "text_hash", "place", "fp"), classes, "fp", "copies", rows.count(), ["doc_id", "text_hash", "place"])
+    return out.select("doc_id", "text_hash", "fp", "label", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def jaccard_join(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, recall: float = 0.99999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -348,9 +369,10 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_c
     """The rows of docs without all but one of each class: that of the least id stays, ids before nulls. Rows without words all stay."""
     rows = linked_rows(docs, similarity, shingle, id_col=id_col, text_col=text_col)
     rank = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash")
-    first = rows.where("fp is not null").groupBy("label").agg(F.min(rank).alias("r")).select(F.col("r.doc_id").alias("#id"), F.col("r.text_hash").alias("#h"))
+    own = f"#{uuid.uuid4().hex}"
+    first = rows.where("fp is not null").groupBy("label").agg(F.min(rank).alias("r")).select(F.col("r.doc_id").alias(f"{own}id"), F.col("r.text_hash").alias(f"{own}h"))
     first = written(first.distinct(), shared_dir(docs.sparkSession))
-    keyed = docs.withColumns({"#t": F.xxhash64(F.col(text_col).cast("string"))})
-    kept = keyed.join(first, (F.col(id_col).eqNullSafe(F.col("#id"))) & (F.col("#t") == F.col("#h")), "left_semi").dropDuplicates([id_col, "#t"])
+    keyed = docs.withColumn(f"{own}t", F.xxhash64(F.col(text_col).cast("string")))
+    kept = keyed.join(first, F.col(id_col).eqNullSafe(F.col(f"{own}id")) & (F.col(f"{own}t") == F.col(f"{own}h")), "left_semi").dropDuplicates([id_col, f"{own}t"])
     none = docs.where(~F.coalesce(F.col(text_col).cast("string"), F.lit("")).rlike("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]"))
-    return kept.drop("#t").unionByName(none)
+    return kept.drop(f"{own}t").unionByName(none)

@@ -166,13 +166,12 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 32, rounds: int = 120, pairs:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", mod: int = 5, held: int = 0, rows: int = ROWS) -> Gam:
     """Fit on at most `rows` labelled texts, none of them with crc32(doc_id) mod `mod` equal to `held`. Their features are made by the tasks; the driver gets these alone."""
-    texts = sample(docs, labels, label, remainder("doc_id", mod) != held, rows)
+    texts = sample(docs, labels, label, remainder("doc_id", mod) != held, rows).select("y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for slab in text_slabs([pa.RecordBatch.from_arrays([batch.column(1), batch.column(0)], names=["y", "text"])]):
-                x = features(slab.column(1))
-                yield pa.RecordBatch.from_arrays([slab.column(0), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["y", "x"])
+        for slab in text_slabs(batches):
+            x = features(slab.column(1))
+            yield pa.RecordBatch.from_arrays([slab.column(0), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["y", "x"])
 
     t = fetched(texts.mapInArrow(run, "y int, x array<double>"))
     x = np.array(t["x"].to_pylist(), float).reshape(-1, len(FEATURES))

@@ -5,13 +5,15 @@ A line fails if it
   * is a row of separated short items (navigation);
   * holds a boilerplate phrase (boilerplate);
   * says the same few words over and over, or equals an earlier line of its text (repetition).
-All measures of a slab are array operations over its bytes.
+All measures of a slab are array operations over its bytes. Equal lines and equal windows are found by hashes of their words and then compared byte by byte; where a hash deceives, the text is counted again by its bytes alone. Distinct words within a line are counted by hashes.
 
 Nulls and empty texts have no words, so they fail the base rules. Repeated rows are each judged, other columns ignored by the measures and kept by clean_lines.
 """
 
 from __future__ import annotations
 
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,15 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import per_slab, raw, text_slabs, texts_of
-from .words import NONSPACE, byte_class, grams, mix, words
+from .words import FOLD, NONSPACE, byte_class, grams, mix, same, words
 
 #: Phrases that mark a line as boilerplate, lower case.
 BOILERPLATE = (b"licensed under", b"all rights reserved", b"terms of use", b"terms of service", b"privacy policy", b"cookie policy", b"use of cookies", b"enable javascript", b"lorem ipsum", b"powered by", b"subscribe to our", b"sign up for our")
 SYMBOLS = byte_class(lambda b: chr(b) in "#*$%&|<>")
-PUNCTUATION = byte_class(lambda b: chr(b) in ".,;:!?" or b >= 0xE2)
+#: Code points up to U+FFFF that count as punctuation: of ASCII those that end or part clauses, of the rest all that Unicode calls so.
+PUNCTUATION = np.array([chr(c) in ".,;:!?" if c < 128 else unicodedata.category(chr(c))[0] == "P" for c in range(1 << 16)])
 LINE = byte_class(lambda b: b != 10)
-FOLD = np.arange(256, dtype=np.uint8)
-FOLD[65:91] += 32
 
 
 @dataclass(frozen=True)
@@ -49,6 +50,60 @@ def _per(flag: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return total[ends] - total[starts]
 
 
+def punctuation(data: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 begin a punctuation character."""
+    out = PUNCTUATION[data] & (data < 128)
+    two, three = np.flatnonzero(data >> 5 == 6), np.flatnonzero(data >> 4 == 14)
+    at = lambda i, k: data[i + k].astype(np.int32) & 63
+    out[two] = PUNCTUATION[(data[two].astype(np.int32) & 31) << 6 | at(two, 1)]
+    out[three] = PUNCTUATION[(data[three].astype(np.int32) & 15) << 12 | at(three, 1) << 6 | at(three, 2)]
+    return out
+
+
+def _first_like(keys: np.ndarray) -> np.ndarray:
+    """Of each key, the first place that has it."""
+    _, first, at = np.unique(keys, return_index=True, return_inverse=True)
+    return first[at]
+
+
+def _copies(line, of: np.ndarray, real: np.ndarray) -> np.ndarray:
+    """Which of the real lines equal an earlier one of their text."""
+    first = real[_first_like(line.hashes[real] ^ mix(of[real].astype(np.uint64)))]
+    like = first != real
+    a, b = real[like], first[like]
+    ok = (of[a] == of[b]) & same(line.pieces, line.starts[a], line.ends[a], line.pieces, line.starts[b], line.ends[b])
+    copy = np.zeros(len(of), bool)
+    copy[a[ok]] = True
+    for d in np.unique(of[np.r_[a[~ok], b[~ok]]]).tolist():
+        seen: set[bytes] = set()
+        for j in real[of[real] == d].tolist():
+            text = line.pieces[line.starts[j] : line.ends[j]].astype(np.uint8).tobytes()
+            copy[j] = text in seen
+            seen.add(text)
+    return copy
+
+
+def _repeated(w, doc: np.ndarray, size: int = 5) -> np.ndarray:
+    """The first words of windows of `size` words that are in their text twice or more."""
+    g = grams(w.hashes, size)
+    inside = np.flatnonzero(doc[size - 1 :] == doc[: len(g)]) if len(g) else np.zeros(0, np.int64)
+    first = inside[_first_like(g[inside] ^ mix(doc[inside].astype(np.uint64)))]
+    like = first != inside
+    a, b = inside[like], first[like]
+    ok = doc[a] == doc[b]
+    for k in range(size):
+        ok &= same(w.pieces, w.starts[a + k], w.ends[a + k], w.pieces, w.starts[b + k], w.ends[b + k])
+    twice = np.zeros(len(doc), bool)
+    twice[a[ok]] = twice[b[ok]] = True
+    for d in np.unique(doc[np.r_[a[~ok], b[~ok]]]).tolist():
+        own = range(int(w.first[d]), int(w.first[d + 1]))
+        text = [w.pieces[w.starts[i] : w.ends[i]].astype(np.uint8).tobytes() for i in own]
+        count = Counter(tuple(text[i : i + size]) for i in range(len(text) - size + 1))
+        for i in range(len(text) - size + 1):
+            twice[own[i]] = count[tuple(text[i : i + size])] > 1
+    return np.flatnonzero(twice)
+
+
 def measure(column: pa.Array, limits: Limits = Limits()) -> dict:
     """Arrays for each text of a column without nulls, and under `lines` for each line with a character: (text, start, end, fails)."""
     data, offsets = raw(column)
@@ -60,10 +115,7 @@ def measure(column: pa.Array, limits: Limits = Limits()) -> dict:
     word_chars = _per(char, offsets[:-1], offsets[1:])
     n_symbols = _per(SYMBOLS[data], offsets[:-1], offsets[1:])
 
-    g = grams(w.hashes, 5)
-    inside = np.flatnonzero(doc[4:] == doc[: len(g)]) if len(g) else np.zeros(0, np.int64)
-    _, at, count = np.unique(g[inside] ^ mix(doc[inside].astype(np.uint64)), return_inverse=True, return_counts=True)
-    twice = inside[count[at] > 1]
+    twice = _repeated(w, doc)
     edge = np.zeros(len(w.starts) + 1, np.int64)
     np.add.at(edge, twice, 1)
     np.add.at(edge, twice + 5, -1)
@@ -74,10 +126,7 @@ def measure(column: pa.Array, limits: Limits = Limits()) -> dict:
     a, b = np.searchsorted(w.starts, line.starts), np.searchsorted(w.starts, line.ends)
     k = b - a
     real = np.flatnonzero(k)
-    _, earliest = np.unique(line.hashes[real] ^ mix(of[real].astype(np.uint64)), return_index=True)
-    copy = np.zeros(len(of), bool)
-    copy[real] = True
-    copy[real[earliest]] = False
+    copy = _copies(line, of, real)
     n_dup = np.bincount(of[copy], minlength=n)
 
     per = lambda flag: _per(flag, line.starts, line.ends)
@@ -87,7 +136,7 @@ def measure(column: pa.Array, limits: Limits = Limits()) -> dict:
     distinct = np.bincount(lw[once], minlength=len(of))
     fails = per(SYMBOLS[data]) > limits.symbols * k
     fails |= (k >= 4) & (per(data == 33) >= limits.bangs * k)
-    fails |= (k >= limits.unpunctuated) & (per(PUNCTUATION[data]) == 0)
+    fails |= (k >= limits.unpunctuated) & (per(punctuation(data)) == 0)
     bars = per(data == 124)
     fails |= (bars >= 3) & (bars >= limits.separators * k)
     fails |= (k >= 10) & (distinct < limits.distinct * k)

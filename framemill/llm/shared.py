@@ -17,9 +17,11 @@ SLAB_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset (tests, one machine) below a temporary folder."""
+    """A new folder below spark.checkpoint.dir; only on one machine (a local master) may that be unset, for a temporary folder."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="framemill-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/framemill-{uuid.uuid4().hex}"
@@ -31,15 +33,35 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def slabs(column: pa.Array, most: int = SLAB_BYTES) -> Iterator[tuple[int, int]]:
-    """(from, to) row ranges of at most `most` bytes of text, but of one row at least."""
+def settled(df: DataFrame, path: str) -> DataFrame:
+    """df, written first if it comes out of a shuffle: rows then come in one order, whenever a lost task is run again."""
+    return written(df, path) if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
+
+
+def hot_joined(left: DataFrame, right: DataFrame, key: str, count: str, rows: int, spread: list[str], share: int = 2000) -> DataFrame:
+    """left.join(right, key, "left") without a hot task. right: one row for each key, `count` being how many of left's `rows` have it (an upper bound will do).
+
+    Keys with more than 1/share of all rows, fewer than `share` of them, are broadcast, and their rows dealt by the columns `spread` instead; the rest are joined by key.
+    """
+    more = [c for c in right.columns if c != key]
+    limit = F.col(count) > max(1, rows // share)
+    hot = right.where(limit).select(F.col(key), F.struct(*more).alias("#hot"))
+    salt = F.when(F.col("#hot").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(*spread).bitwiseOR(F.lit(1).cast("long")))
+    dealt = left.join(F.broadcast(hot), key, "left").withColumn("#salt", salt)
+    cold = right.where(~limit).select(F.col(key), F.lit(0).cast("long").alias("#salt"), F.struct(*more).alias("#cold"))
+    both = dealt.join(cold, [key, "#salt"], "left")
+    return both.select(*left.columns, *[F.coalesce(F.col("#hot"), F.col("#cold"))[c].alias(c) for c in more])
+
+
+def slabs(column: pa.Array, most: int = SLAB_BYTES, rows: int = 65535) -> Iterator[tuple[int, int]]:
+    """(from, to) row ranges of at most `most` bytes of text and `rows` rows, but of one row at least."""
     if not len(column):
         return
     ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0).cast(pa.int64())))
     at, n = 0, len(ends)
     while at < n:
         before = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+        to = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + most, "right"))))
         yield at, to
         at = to
 

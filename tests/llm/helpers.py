@@ -37,3 +37,9 @@ def frame(spark, rows=None, extra=True):
 
 def key(row):
     return tuple((v is not None, str(v)) for v in row)
+
+
+def thue_morse(n):
+    """Two different strings of a and b that hashes by powers of a number confuse, from n = 1024 on."""
+    s = "".join("ab"[i.bit_count() % 2] for i in range(n))
+    return s, s.translate({97: "b", 98: "a"})

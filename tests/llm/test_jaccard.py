@@ -5,7 +5,7 @@ import pytest
 
 from framemill.llm import jaccard_join as j
 
-from .helpers import documents, frame, key, sentence, words
+from .helpers import documents, frame, key, sentence, thue_morse, words
 
 
 def shingles(text, k=5):
@@ -91,19 +91,41 @@ def test_one_of_each_stays(spark):
     assert sum(got[r[0], r[1]] for r in alone) >= len(alone) and got[None, "a text without an id but with words"] == 1
 
 
-def half_alike(seed, pairs=150):
-    """Pairs of texts of which just over half of all 5-grams are shared."""
+def alike(seed, similarity, pairs=150):
+    """Pairs of texts that share just over `similarity` of all their 5-grams: 80 of them, and n more on either side."""
     rng, rows = random.Random(seed), []
+    n = int(80 * (1 / similarity - 1) / 2)
     for _ in range(pairs):
         base = [f"w{rng.randrange(10**9)}" for _ in range(84)]
-        rows += [(len(rows) + k, " ".join([*base, *(f"v{rng.randrange(10**9)}" for _ in range(39))]), "en", "s", 1) for k in (0, 1)]
+        rows += [(len(rows) + k, " ".join([*base, *(f"v{rng.randrange(10**9)}" for _ in range(n))]), "en", "s", 1) for k in (0, 1)]
     return rows
 
 
-def test_low_similarities_lose_no_pairs(spark):
-    rows = half_alike(7)
-    got = sorted(map(tuple, j.jaccard_join(frame(spark, rows), similarity=0.5).collect()), key=key)
-    assert got == brute(rows, 0.5) and all(n == 1 for _, _, n in got)
+@pytest.mark.parametrize("similarity", [0.5, 0.6, 0.7, 0.8])
+def test_no_pairs_are_lost_at_the_threshold(spark, similarity):
+    rows = alike(7, similarity)
+    got = sorted(map(tuple, j.jaccard_join(frame(spark, rows), similarity=similarity).collect()), key=key)
+    assert got == brute(rows, similarity) and all(n == 1 for _, _, n in got)
+
+
+def test_texts_are_shuffled_if_many_are_compared(spark, monkeypatch):
+    monkeypatch.setattr(j, "SENT", 3)
+    rows = near(5)
+    assert sorted(map(tuple, j.jaccard_join(frame(spark, rows)).collect()), key=key) == brute(rows)
+
+
+def test_words_that_arithmetic_hashes_confuse(spark):
+    one, other = thue_morse(2048)
+    rows = [(1, one, "en", "s", 1), (2, other, "en", "s", 1), (3, f"{one} {other}", "en", "s", 1), (4, f"{other} {one}", "en", "s", 1), (5, one, "en", "s", 1)]
+    assert sorted(map(tuple, j.jaccard_join(frame(spark, rows)).collect()), key=key) == brute(rows)
+
+
+def test_columns_with_working_names(spark):
+    from pyspark.sql import functions as F
+
+    df = frame(spark).withColumns({c: F.lit(c) for c in ("#t", "#id", "#h", "#hot", "#cold", "#salt", "path", "label", "place")})
+    kept = j.one_of_each(df)
+    assert kept.columns == df.columns and kept.count() == j.one_of_each(frame(spark)).count()
 
 
 def test_agreement_and_runs_follow_the_similarity():

@@ -3,7 +3,10 @@ import random
 import numpy as np
 import pyarrow as pa
 
+from pyspark.sql import functions as F
+
 from framemill.llm import toxicity as t
+from framemill.llm.labelled import sample
 
 from .helpers import frame, sentence
 
@@ -49,7 +52,7 @@ def test_slopes_are_right():
 
 
 def test_windows_cover_texts():
-    for n in (0, 1, 31, 32, 33, 56, 57, 500):
+    for n in (0, 1, 31, 32, 33, 48, 49, 500):
         text, start, size = t.windows(np.array([0, n]))
         seen = {int(a) + k for a, s in zip(start, size) for k in range(int(s))}
         assert seen == set(range(n)) and (size <= t.WINDOW).all() and (n < t.WINDOW or (size == t.WINDOW).all())
@@ -65,6 +68,31 @@ def test_learns_words_and_beginnings():
     assert long[1] >= 0.3 > long[0]
 
 
+def test_sample(spark):
+    rows = [(i, f"text {i}", "en", "s", 1) for i in range(300)] + [(5, "another 5", "en", "s", 1), (7, None, "en", "s", 1), (8, "y " * 300_000, "en", "s", 1)]
+    docs = frame(spark, [r for r in rows if r[0] != 9])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(280)] + [(i, 1) for i in range(5000, 9000)] + [(None, 1), (9, 1), (10, None), (4, 1)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in sample(docs, labels, "toxic", F.lit(True), 100).collect()}
+    order = [r.doc_id for r in docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).collect() if r.doc_id < 280]
+    assert set(got) == set(order[:100])
+    everything = {r.doc_id: r for r in sample(docs, labels, "toxic", F.lit(True)).collect()}
+    assert set(everything) == set(range(280)) - {9} and len(everything[8].text) in (6, 600_000) and everything[4].y == 1 and everything[10].y == 0
+    assert sample(docs, labels.limit(0), "toxic", F.lit(True)).count() == 0
+
+
+def test_network_over_tasks_equals_one_in_memory(spark):
+    x, y = texts(300, 4)
+    docs = frame(spark, [(i, s, "en", "s", 1) for i, s in enumerate(x)])
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, toxic int")
+    rows = sample(docs, labels, "toxic", F.lit(True)).collect()
+    net, column = t.fit(docs, labels, held=-1), pa.array([r.text for r in rows], pa.large_string())
+    order, target = np.array([r.order for r in rows]), np.array([r.y for r in rows])
+    counts = t.bucket_counts(column, target, order & 1)
+    known = [t.odds_of(c) for c in counts]
+    own = t.learned(pa.Table.from_batches([t.windows_to_learn(t.Network(), column, target, order & 1, order, known)]))
+    assert all(np.allclose(own.p[k], net.p[k], atol=1e-5) for k in own.p) and np.array_equal(t.odds_of(counts.sum(axis=0))[0], net.odds[0])
+
+
 def test_scores_of_frames(spark):
     x, y = texts(600, 3)
     rows = [(i, s, "en", "s", 1) for i, s in enumerate(x)] + [(None, None, None, None, None), (9000, "", "en", "s", 0), (9001, None, None, None, None), (3, x[3], "en", "s", 1)]
@@ -78,6 +106,11 @@ def test_scores_of_frames(spark):
     kept = t.without_toxic(docs, net)
     assert kept.columns == docs.columns and kept.count() == (out.predicted == 0).sum()
     assert t.without_toxic(docs.limit(0), net).count() == 0
+    assert np.ptp(out[out.doc_id == 3].score) < 1e-4 and len(out[out.doc_id == 3]) == 2
+    empty = out[out.doc_id.isna() | (out.doc_id == 9000) | (out.doc_id == 9001)]
+    assert np.ptp(empty.score) < 1e-4 and len(empty) == 3
+    named = docs.withColumns({"#": F.lit("a"), "##": F.lit("b")})
+    assert {(r["#"], r["##"]) for r in t.without_toxic(named, net).collect()} == {("a", "b")}
     flat = t.fit(docs, labels.limit(0))
     assert (t.scored(docs, flat).toPandas().score == 0).all()
 
