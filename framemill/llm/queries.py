@@ -109,12 +109,12 @@ select doc_id, class_id, (select count(*) from links where a = doc_id) as n_link
 with d as (select doc_id, {_WORDS} as ws from documents), b as (select item_id, {_WORDS} as ws from benchmark),
 win as (select distinct item_id, least(10, len(ws)) as k, array_to_string(ws[i : i + least(10, len(ws)) - 1], ' ') as g from b, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) as t(i) where len(ws) > 0),
 ks as (select distinct k from win),
-at as (select doc_id, k, i, array_to_string(ws[i : i + k - 1], ' ') as g from d, ks, unnest(range(1, len(ws) - k + 2)) as t(i)),
-hits as (select doc_id, i, k, item_id from at join win using (k, g)),
+spots as (select doc_id, k, i, array_to_string(ws[i : i + k - 1], ' ') as g from d, ks, unnest(range(1, len(ws) - k + 2)) as t(i)),
+hits as (select doc_id, i, k, item_id from spots join win using (k, g)),
 covered as (select doc_id, count(distinct i + j) as n_hit from hits, unnest(range(0, k)) as t(j) group by 1),
 items as (select doc_id, count(*) as n_items, string_agg(id, ',' order by id) as ids from (select distinct doc_id, cast(item_id as varchar) as id from hits) group by 1),
 places as (select r, j, least(10, len(ws)) as k, array_to_string(ws[j : j + least(10, len(ws)) - 1], ' ') as g from (select ws, row_number() over () as r from b), unnest(range(1, len(ws) - least(10, len(ws)) + 2)) as t(j) where len(ws) > 0),
-steps as (select doc_id, r, i, j, k, i - row_number() over (partition by doc_id, r, k, i - j order by i) as run from at join places using (k, g)),
+steps as (select doc_id, r, i, j, k, i - row_number() over (partition by doc_id, r, k, i - j order by i) as run from spots join places using (k, g)),
 matches as (select doc_id, min(i) as i, count(*) + k - 1 as n from steps group by doc_id, r, k, i - j, run),
 longest as (select doc_id, max(n) as n_longest, arg_min(i, (-n, i)) - 1 as longest_at from matches group by 1)
 select doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated,
