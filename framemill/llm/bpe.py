@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-Each task replays the merges over its part of the corpus: the distinct pre-tokens of a slab of texts that the task hasn't met yet are laid end to end. Merges in different words commute, so a wave applies the lowest pair of every word at once, as arrays, over all symbols that are left; no index is kept. Pre-tokens of LONG bytes and more, which would need very many waves, go through an inverted index from each mergeable token pair to the positions where it stands, merged in rank order by a heap, touching only the merged places' neighbours. A pre-token's ids depend on nothing but itself, so the corpus can be dealt over tasks without a shuffle, and a lost task is just run again.
+Each task replays the merges over its part of the corpus. The distinct pre-tokens of a slab of texts that the task hasn't met yet are laid end to end; an inverted index maps each rank (that is, each mergeable token pair) to the positions where such a pair stands. Ranks are taken in their order, each with all its positions at once, in all words; a merge looks at its two neighbours only, and enters the pairs that it makes into the index. A word in which a merge makes a pair of a lower rank, while other positions of its batch were merged as well, would want these to wait: such rare words are replayed again alone. A pre-token's ids depend on nothing but itself, so the corpus can be dealt over tasks without a shuffle, and a lost task is just run again.
 
 Nulls and empty texts give no ids. Repeated rows are encoded as often as they come. Other columns are ignored.
 """
@@ -10,7 +10,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +20,12 @@ from pyspark.sql import DataFrame
 from .segments import segments
 from .shared import text_slabs, texts_of
 
+#: Bytes of texts whose new pre-tokens are replayed together: many, as each rank takes a few array operations.
+SLAB = 8 << 20
 #: Segments that a task remembers between slabs; beyond it the memory starts anew. It changes the speed only.
 REMEMBERED = 300_000
+#: No merge.
+NONE = (1 << 31) - 1
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -30,144 +33,123 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-#: Bytes from which a pre-token is replayed by the heap.
-LONG = 256
-#: No merge.
-NONE = (1 << 31) - 1
-
-
 class MergeReplay:
     """Replays the merges of a rank table over many words at once."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.token = ranks, {r: t for t, r in ranks.items()}
-        self.byte = [ranks[bytes([b])] for b in range(256)]
-        self.pair: dict[tuple[int, int], int] = {}  # token pair -> rank of what it becomes, or -1
         pairs = {(a << 32) | b: r for t, r in ranks.items() for i in range(1, len(t)) if (a := ranks.get(t[:i])) is not None and (b := ranks.get(t[i:])) is not None}
+        self.pairs = pairs
         self.pair_keys = np.array(sorted(pairs), np.int64)
-        self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
-        self.byte_ids = np.array(self.byte, np.int64)
+        self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int32)
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
 
-    def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Ranks of the pairs (a, b), looked up once for each distinct pair."""
-        if not len(a) or not len(self.pair_keys):
-            return np.full(len(a), NONE, np.int64)
-        keys, where = np.unique((a << 32) | b, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], NONE)[where]
+    def rank_of(self, keys: np.ndarray) -> np.ndarray:
+        """Ranks of pairs, given as first << 32 | second; NONE where they don't merge."""
+        if not len(self.pair_keys):
+            return np.full(len(keys), NONE, np.int32)
+        at = np.searchsorted(self.pair_keys, keys)
+        at[at == len(self.pair_keys)] = 0
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], np.int32(NONE))
 
     def encode(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word, packed: the lowest rank first, and leftmost among equals, as one word at a time would get them."""
         out: list[bytes] = [b""] * len(words)
-        waves, long = [], []
+        left = []
         for w, word in enumerate(words):
             if (whole := self.ranks.get(word)) is not None:
                 out[w] = whole.to_bytes(4, "little")
             elif word:
-                (waves if len(word) < LONG else long).append(w)
-        for group, how in ((waves, self.by_waves), (long, self.by_heap)):
-            for w, ids in zip(group, how([words[w] for w in group])):
-                out[w] = ids
+                left.append(w)
+        for w, ids in zip(left, self.replay([words[w] for w in left])):
+            out[w] = ids
         return out
 
-    def by_waves(self, words: list[bytes]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(words)
-        sym = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
-        owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
-        rank = np.full(len(sym), NONE, np.int64)
-        inside = np.flatnonzero(owner[:-1] == owner[1:])
-        rank[inside] = self.rank_of(sym[inside], sym[inside + 1])
-        while len(sym):
-            starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            lowest = np.minimum.reduceat((rank << 32) | np.arange(len(sym)), starts)
-            over = (lowest >> 32) == NONE
-            if over.any():
-                size = np.diff(np.r_[starts, len(sym)])
-                ids, ends = sym[np.repeat(over, size)].astype("<u4").tobytes(), (4 * np.cumsum(size[over])).tolist()
-                for w, a, b in zip(owner[starts[over]].tolist(), [0, *ends], ends):
-                    out[w] = ids[a:b]
-            p = lowest[~over] & 0xFFFFFFFF
-            sym[p] = lowest[~over] >> 32
-            keep = np.repeat(~over, np.diff(np.r_[starts, len(sym)]))
-            keep[p + 1] = False
-            p = np.cumsum(keep)[p] - 1
-            sym, owner, rank = sym[keep], owner[keep], rank[keep]
-            rank[p] = NONE
-            left = p[p > 0] - 1
-            touched = np.r_[left, p[p + 1 < len(sym)]]
-            touched = touched[owner[touched] == owner[touched + 1]]
-            rank[touched] = self.rank_of(sym[touched], sym[touched + 1])
-        return out
-
-    def merged(self, a: int, b: int) -> int:
-        r = self.pair.get((a, b))
-        if r is None:
-            r = self.pair[a, b] = self.ranks.get(self.token[a] + self.token[b], -1)
-        return r
-
-    def by_heap(self, words: list[bytes]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(words)
-        sym, after, before, owner = array("i"), array("i"), array("i"), array("i")
-        first: list[tuple[int, int]] = []
-        for w, word in enumerate(words):
-            at, n = len(sym), len(word)
-            first.append((w, at))
-            sym.extend([self.byte[b] for b in word])
-            owner.extend([w] * n)
-            before.extend([-1, *range(at, at + n - 1)])
-            after.extend([*range(at + 1, at + n), -1])
-        index: dict[int, list[int]] = {}
-        merged, pair = self.merged, self.pair
-        for p, q in enumerate(after):
-            if q >= 0:
-                r = pair.get((sym[p], sym[q]))
-                if r is None:
-                    r = merged(sym[p], sym[q])
-                if r >= 0:
-                    index.setdefault(r, []).append(p)
-        heap = list(index)
+    def replay(self, words: list[bytes]) -> list[bytes]:
+        if not words:
+            return []
+        size = np.array([len(w) for w in words])
+        n, ends = int(size.sum()), np.cumsum(size)
+        # one place more, at -1, stands for no neighbour; its token is in no pair
+        sym = np.full(n + 1, -1, np.int64)
+        sym[:n] = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+        after, before, merged = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32), np.zeros(n, bool)
+        after[ends - 1], before[ends - size], after[n] = -1, -1, -1
+        keys, at = np.unique(sym << 32 | sym[after] & 0xFFFFFFFF, return_inverse=True)
+        rank = self.rank_of(keys)[at]
+        order = np.argsort(rank, kind="stable").astype(np.int32)[: int((rank < NONE).sum())]
+        cut = np.flatnonzero(np.diff(rank[order])) + 1
+        index: dict[int, list[np.ndarray]] = {int(rank[p[0]]): [p] for p in np.split(order, cut) if len(p)}
+        heap, again = list(index), []
         heapq.heapify(heap)
         while heap:
-            rank = heapq.heappop(heap)
-            places = index.pop(rank, None)
+            r = heapq.heappop(heap)
+            places = index.pop(r, None)
             if places is None:
                 continue
-            places.sort()
-            held = -1  # a word in which a lower rank has come up; its other places wait for that
-            for p in places:
+            p = places[0] if len(places) == 1 else np.concatenate(places)
+            p = p[rank[p] == r]
+            if not len(p):
+                continue
+            if len(p) > 1:
+                if not (p[1:] > p[:-1]).all():
+                    p = np.unique(p)
                 q = after[p]
-                if sym[p] < 0 or q < 0 or merged(sym[p], sym[q]) != rank:
-                    continue
-                if owner[p] == held:
-                    if rank not in index:
-                        index[rank] = []
-                        heapq.heappush(heap, rank)
-                    index[rank].append(p)
-                    continue
-                nxt, prv = after[q], before[p]
-                sym[p], sym[q], after[p] = rank, -1, nxt
-                if nxt >= 0:
-                    before[nxt] = p
-                for a, b in ((prv, p), (p, nxt)):
-                    if a >= 0 and b >= 0:
-                        r = pair.get((sym[a], sym[b]))
-                        if r is None:
-                            r = merged(sym[a], sym[b])
-                        if r >= 0:
-                            if r not in index:
-                                index[r] = []
-                                heapq.heappush(heap, r)
-                            index[r].append(a)
-                            if r < rank:
-                                held = owner[p]
-        for w, at in first:
-            ids = []
-            while at >= 0:
-                ids.append(sym[at])
-                at = after[at]
-            out[w] = np.array(ids, "<u4").tobytes()
+                touching = p[1:] == q[:-1]
+                if touching.any():  # of a row of equal tokens every other place is merged, from the left
+                    start = np.maximum.accumulate(np.where(np.r_[True, ~touching], np.arange(len(p)), 0))
+                    p = p[(np.arange(len(p)) - start) % 2 == 0]
+            q = after[p]
+            nxt = after[q]
+            sym[p], after[p], before[nxt], rank[q], merged[q] = r, nxt, p, NONE, True
+            touched = np.concatenate([before[p], p])
+            new = self.rank_of(sym[touched] << 32 | sym[after[touched]] & 0xFFFFFFFF)
+            rank[touched] = new
+            some = new != NONE
+            touched, new = touched[some], new[some]
+            if not len(new):
+                continue
+            low = new < r
+            if len(p) > 1 and low.any():
+                word = np.searchsorted(ends, p, "right")
+                again += [w for w in np.unique(np.searchsorted(ends, touched[low], "right")).tolist() if np.count_nonzero(word == w) > 1]
+            by = np.argsort(new, kind="stable")
+            touched, new = touched[by], new[by]
+            cut = np.flatnonzero(new[1:] != new[:-1]) + 1
+            for k, places in zip(new[np.r_[0, cut]].tolist(), np.split(touched, cut)):
+                if k in index:
+                    index[k].append(places)
+                else:
+                    index[k] = [places]
+                    heapq.heappush(heap, k)
+        ids = sym[:n][~merged].astype("<u4").tobytes()
+        stop = (4 * np.cumsum(~merged)[ends - 1]).tolist()
+        out = [ids[a:b] for a, b in zip([0, *stop], stop)]
+        for w in set(again):
+            out[w] = self.alone(words[w])
         return out
 
+    def alone(self, word: bytes) -> bytes:
+        """One word, merge by merge."""
+        n = len(word)
+        sym, after, before = self.byte_ids[np.frombuffer(word, np.uint8)].tolist(), [*range(1, n), -1], list(range(-1, n - 1))
+        pairs = self.pairs
+        heap = [(r, i) for i in range(n - 1) if (r := pairs.get(sym[i] << 32 | sym[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = after[i]
+            if sym[i] < 0 or j < 0 or pairs.get(sym[i] << 32 | sym[j]) != r:
+                continue
+            k = after[j]
+            sym[i], sym[j], after[i] = r, -1, k
+            if k >= 0:
+                before[k] = i
+            for a, b in ((before[i], i), (i, k)):
+                if a >= 0 and b >= 0 and (x := pairs.get(sym[a] << 32 | sym[b])) is not None:
+                    heapq.heappush(heap, (x, a))
+        return np.array([s for s in sym if s >= 0], "<u4").tobytes()
+
 
 class Encoder:
     """Texts to ids by way of the distinct segments and pre-tokens of a slab."""
@@ -176,18 +158,26 @@ class Encoder:
         self.replay, self.pattern = MergeReplay(ranks), regex.compile(pattern)
         self.known: dict[str, bytes] = {}  # segment -> ids as little-endian uint32
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [segments(t) for t in texts]
+    def learn(self, texts: list[str]) -> None:
+        """Replay the merges over the pre-tokens of all segments that aren't known."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = [s for s in {s for p in parts for s in p} if s not in self.known]
+        known, new = self.known, set()
+        for t in texts:
+            new.update(segments(t))
+        new -= known.keys()
         words: dict[str, int] = {}
         made = [[words.setdefault(w, len(words)) for w in self.pattern.findall(s)] for s in new]
         ids = self.replay.encode([w.encode() for w in words])
         for s, ws in zip(new, made):
-            self.known[s] = ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])
-        known = self.known
-        return [b"".join([known[s] for s in p]) for p in parts]
+            known[s] = ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])
+
+    def ids(self, text: str) -> bytes:
+        return b"".join(map(self.known.__getitem__, segments(text)))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        self.learn(texts)
+        return [self.ids(t) for t in texts]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.replay.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -202,16 +192,31 @@ def encoded(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(load_ranks(vocabulary), pattern)
-        for slab in text_slabs(batches):
-            ids = enc.encode(slab.column(1).to_pylist())
-            back = [enc.decode(x) for x in ids]
-            n = pa.array([len(x) // 4 for x in ids], pa.int64())
-            if digests:
-                tail = [pa.array([hashlib.sha256(x).hexdigest() for x in y], pa.string()) for y in (ids, back)]
-            else:
-                tail = [pa.array(ids, pa.binary()), pa.array(back, pa.binary())]
-            yield pa.RecordBatch.from_arrays([slab.column(0), n, *tail], names=["doc_id", "n_tokens", *names])
+        for some in gathered(batches, SLAB):
+            enc.learn([t for slab in some for t in slab.column(1).to_pylist()])
+            for slab in some:
+                ids = [enc.ids(t) for t in slab.column(1).to_pylist()]
+                back = [enc.decode(x) for x in ids]
+                n = pa.array([len(x) // 4 for x in ids], pa.int64())
+                if digests:
+                    tail = [pa.array([hashlib.sha256(x).hexdigest() for x in y], pa.string()) for y in (ids, back)]
+                else:
+                    tail = [pa.array(ids, pa.binary()), pa.array(back, pa.binary())]
+                yield pa.RecordBatch.from_arrays([slab.column(0), n, *tail], names=["doc_id", "n_tokens", *names])
 
     names = ["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
     kind = "string" if digests else "binary"
     return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_tokens long, " + ", ".join(f"{x} {kind}" for x in names))
+
+
+def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
+    """Slabs of texts, as many at a time as have `most` bytes together."""
+    held, size = [], 0
+    for slab in text_slabs(batches):
+        held.append(slab)
+        size += slab.column(1).nbytes
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held

@@ -8,7 +8,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from framemill.llm.bpe import Encoder, encoded, load_ranks
+from framemill.llm.bpe import Encoder, MergeReplay, encoded, load_ranks
 from framemill.llm.segments import segments
 from framemill.llm.token_counts import token_counts
 
@@ -35,7 +35,32 @@ def test_encoder_equals_library(encoder, library, texts):
         assert encoder.decode(ids) == text.encode()
 
 
-def test_long_pretokens_go_through_the_heap(encoder, library):
+def by_definition(word, ranks):
+    """Of all neighbours that are a token together, those of the lowest rank are merged, the leftmost first, until there are none."""
+    parts = [bytes([b]) for b in word]
+    while True:
+        found = [(r, i) for i in range(len(parts) - 1) if (r := ranks.get(parts[i] + parts[i + 1])) is not None]
+        if not found:
+            return [ranks[p] for p in parts]
+        _, i = min(found)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+@given(st.lists(st.text("abc", min_size=2, max_size=5), max_size=40, unique=True), st.randoms(), st.lists(st.text("abcd", max_size=30), max_size=12))
+@settings(max_examples=400, deadline=None)
+def test_replay_of_any_rank_table(tokens, rng, words):
+    """In tables in random order, merges often make pairs of lower ranks."""
+    rng.shuffle(tokens)
+    ranks = {bytes([b]): b for b in range(256)} | {t.encode(): 256 + i for i, t in enumerate(tokens)}
+    words = [w.encode() for w in words]
+    replay = MergeReplay(ranks)
+    for word, ids in zip(words, replay.replay(words) if all(words) else replay.encode(words)):
+        want = [ranks[word]] if word in ranks and not all(words) else by_definition(word, ranks)
+        assert np.frombuffer(ids, "<u4").tolist() == want
+    assert all(np.frombuffer(replay.alone(w), "<u4").tolist() == by_definition(w, ranks) for w in words if w)
+
+
+def test_long_pretokens(encoder, library):
     for text in ("a" * 5000, "abcab" * 900, "!" * 700 + "?" * 700, " " * 900, "日本" * 500):
         assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == library.encode_ordinary(text)
 
