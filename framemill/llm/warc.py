@@ -2,9 +2,9 @@
 
 Records are grouped into independent frames of about FRAME_BYTES; each archive ends in a seek table (a skippable frame, as in the published seekable format), and an index maps each record to its archive, frame and offset in that frame, so one record costs one frame to read. Of equal payloads the record of the smallest page is a response, the others revisit it.
 
-Equal payloads are found by digest: (digest, smallest page, count) for repeated digests only. Digests with over 1/2000 of all rows, fewer than 2000 of them whatever the input, are broadcast, and their pages are dealt evenly; the rest are joined. Archives are written under names of their own to a temporary name and renamed, and the index of those that a committed task wrote is a table in the shared folder, so lost or repeated tasks can't leave half an archive in it.
+Equal payloads are found by digest: (digest, smallest page, count) for repeated digests only. Digests with over 1/SHARE of all rows, fewer than SHARE of them whatever the input, are broadcast, and their pages are dealt evenly; the rest are joined, and stream through the tasks that write them. Archives are written under names of their own to a temporary name and renamed, and the index of those that a committed task wrote is a table in the shared folder, so lost or repeated tasks can't leave half an archive in it.
 
-Null html is an empty payload, null urls are empty. A null page_id stays null: such a record is a response if no page with an id has its payload, and it is never referred to. Repeated rows each get a record; all rows with the smallest page_id of a payload are responses.
+Null html is an empty payload, null urls are empty, white space in urls becomes a blank. Page ids are percent-encoded in the archives, so they may hold any text; empty ones stay empty. A null page_id stays null: such a record is a response if no page with an id has its payload, and it is never referred to. Repeated rows each get a record; all rows with the smallest page_id of a payload are responses.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
@@ -29,6 +30,7 @@ LEVEL = 3
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 #: Payloads of fewer bytes are never revisited.
 LEAST = 100
+SHARE = 100_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -87,8 +89,11 @@ class ArchiveReader:
         return self.zstd.decompress(self.file.read_at(packed, self.starts[i]), max_output_size=plain)
 
 
+NO_PAGE = "<urn:no-page>"
+
+
 def urn(page: object) -> str:
-    return f"<urn:page:{'' if page is None else page}>"
+    return NO_PAGE if page is None else f"<urn:page:{quote(str(page), safe='')}>"
 
 
 def record(page: object, url: str, payload: bytes, digest: str, refers: object, revisit: bool) -> bytes:
@@ -119,7 +124,7 @@ def records(frame: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def page_of(said: str) -> str | None:
-    return said[len("<urn:page:") : -1] or None
+    return None if said == NO_PAGE else unquote(said[len("<urn:page:") : -1])
 
 
 def write_archives(pages: DataFrame, top: str, page_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -157,7 +162,7 @@ def write_archives(pages: DataFrame, top: str, page_col: str = "page_id", url_co
     return written(df.mapInArrow(run, f"page_id {kind}, archive string, frame long, frame_offset long, record_bytes long"), f"{top}/index")
 
 
-def heavy_digests(repeated: DataFrame, rows: int, share: int = 2000) -> DataFrame:
+def heavy_digests(repeated: DataFrame, rows: int, share: int = SHARE) -> DataFrame:
     """Digests with more than 1/share of all rows: fewer than `share`."""
     return repeated.where(F.col("n") > max(1, rows // share)).select("digest", F.col("first").alias("hot_first"))
 

@@ -61,3 +61,10 @@ def test_random_access(spark, tmp_path):
     (tmp_path / "broken").write_bytes(b"0" * 20)
     with pytest.raises(ValueError):
         warc.ArchiveReader(f"{top}/broken")
+
+
+def test_page_ids_of_any_text(spark):
+    ids = ["", " ", "a b", "x\r\n\r\ny", "<urn:page:1>", "%41", "A", "日本", None, "", "a: b", "<urn:no-page>"]
+    rows = [(i, "u\u2028v", BIG if k % 2 else f"page {k}" * 30, "en", 1, "d") for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, SCHEMA.replace("page_id long", "page_id string"))
+    assert sorted(map(tuple, warc.archived(df).collect()), key=key) == brute(rows)
