@@ -50,7 +50,7 @@ MORE = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"(?:sk|rk)_(?:live|test)_[A-Za-z0-9]{16,}"),
-    Rule("url", r"[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\s:/@]{1,64}:([^\s:/@]{6,64})@", 1, 6),
+    Rule("url", r"[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\s:/@]+:([^\s:/@]{6,})@", 1, 6),
 )
 
 Query = tuple | None  # ("and" | "or", parts) or ("tri", code); None: every text may match

@@ -61,3 +61,17 @@ def test_redact(spark):
     rows = {r.doc_id: r.text for r in got.collect() if r.doc_id is not None}
     assert rows[500] == '[secret]" and [secret]' and rows[200] is None and rows[300] == dict((r[0], r[1]) for r in ROWS)[300]
     assert rows[513] == "[secret]" and "hunter22" not in rows[512]
+
+
+def test_columns_with_working_names(spark):
+    from pyspark.sql import functions as F
+
+    df = frame(spark, ROWS).withColumns({"#": F.lit("a"), "##": F.lit("b")})
+    out = s.redact(df)
+    assert out.columns == df.columns and {(r["#"], r["##"]) for r in out.collect()} == {("a", "b")}
+
+
+def test_long_passwords_in_urls(spark):
+    text = "see ftp://" + "u" * 90 + ":" + "p" * 300 + "@host and more"
+    (row,) = s.redact(frame(spark, [(1, text, "en", "s", 1)])).collect()
+    assert "ppp" not in row.text and row.text.startswith("see ") and row.text.endswith("host and more")
