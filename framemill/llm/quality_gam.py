@@ -127,13 +127,21 @@ def _tree2(g: np.ndarray, h: np.ndarray, least: float) -> tuple[np.ndarray, floa
     return best, gain_of
 
 
+def _cuts(x: np.ndarray, bins: int) -> np.ndarray:
+    """Quantiles, halfway between the values that are there."""
+    values = np.unique(x)
+    at = np.searchsorted(values, np.unique(np.quantile(x, np.linspace(0, 1, bins + 1)[1:-1], method="lower")))
+    at = at[at > 0]
+    return (values[at] + values[at - 1]) / 2
+
+
 def fit(x: np.ndarray, y: np.ndarray, bins: int = 32, rounds: int = 120, pairs: int = 8, pair_rounds: int = 40, rate: float = 0.15, leaves: int = 3, least: float = 4.0) -> Gam:
     n = len(y)
     if not n or y.min() == y.max():
         share = (y.sum() + 0.5) / (n + 1) if n else 0.5
         return Gam(float(np.log(share / (1 - share))))
     gam = Gam(float(np.log(y.mean() / (1 - y.mean()))))
-    gam.cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
+    gam.cuts = [_cuts(x[:, f], bins) for f in range(x.shape[1])]
     gam.tables = [np.zeros(len(c) + 1) for c in gam.cuts]
     b, z = gam.bins(x), np.full(n, gam.base)
 
@@ -166,14 +174,15 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 32, rounds: int = 120, pairs:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", mod: int = 5, held: int = 0, rows: int = ROWS) -> Gam:
     """Fit on at most `rows` labelled texts, none of them with crc32(doc_id) mod `mod` equal to `held`. Their features are made by the tasks; the driver gets these alone."""
-    texts = sample(docs, labels, label, remainder("doc_id", mod) != held, rows).select("y", "text")
+    texts = sample(docs, labels, label, remainder("doc_id", mod) != held, rows).select("y", "text", "order")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for slab in text_slabs(batches):
             x = features(slab.column(1))
-            yield pa.RecordBatch.from_arrays([slab.column(0), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["y", "x"])
+            yield pa.RecordBatch.from_arrays([slab.column(0), pa.array(x.tolist(), pa.list_(pa.float64())), slab.column(2)], names=["y", "x", "order"])
 
-    t = fetched(texts.mapInArrow(run, "y int, x array<double>"))
+    # in one order, so that sums and with them the trees are the same whenever it is run
+    t = fetched(texts.mapInArrow(run, "y int, x array<double>, order long")).sort_by("order")
     x = np.array(t["x"].to_pylist(), float).reshape(-1, len(FEATURES))
     return fit(x, (t["y"].to_numpy() > 0).astype(float))
 

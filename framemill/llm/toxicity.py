@@ -414,7 +414,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 4,
         for column, y, half, _ in parts(batches):
             yield pa.RecordBatch.from_arrays([pa.array(suspects(model.value, column, half, sent.value)), pa.array(y)], names=["z", "y"])
 
-    t = fetched(texts.mapInArrow(judge, "z double, y int"))
+    t = fetched(texts.mapInArrow(judge, "z double, y int")).sort_by([("z", "ascending"), ("y", "ascending")])
     return _finished(net, counts, t["z"].to_numpy(), (t["y"].to_numpy() > 0).astype(float))
 
 
