@@ -102,7 +102,7 @@ def serial(index: Column | str, digits: int = 6) -> Column:
 
 
 def jobs(frames: DataFrame, shots: int, delay: int = 0, count: int | None = None, reverse: bool = False, new_name: str = "", split: int = 1, extension: str = ".dng") -> DataFrame:
-    """set_index, shot_indices, output_name, original_filename: what is to be written, in order of job_index. frames: frame_index and name, no payloads.
+    """job_index, set_index, shot_indices, names (of the shots), output_name, original_filename: what is to be written, in order of job_index. frames: frame_index and name, no payloads.
 
     Outputs are named after their first frame, or new_name with a serial number; with split they are dealt in turn over folders 1 to split, with serial numbers of their own.
     """
@@ -115,7 +115,7 @@ def jobs(frames: DataFrame, shots: int, delay: int = 0, count: int | None = None
     number = F.floor(F.col("job_index") / split) if split > 1 else F.col("job_index")
     stem = F.concat(F.lit(f"{new_name}_"), serial(number)) if new_name.strip() else base_name(F.col("n")[0]["name"])
     folder = F.concat((part + 1).cast("string"), F.lit("/")) if split > 1 else F.lit("")
-    return named.select("job_index", "set_index", "shot_indices", F.concat(folder, stem, F.lit(extension)).alias("output_name"), F.array_join(F.transform("n", lambda x: file_name(x["name"])), ",").alias("original_filename"))
+    return named.select("job_index", "set_index", "shot_indices", F.transform("n", lambda x: x["name"]).alias("names"), F.concat(folder, stem, F.lit(extension)).alias("output_name"), F.array_join(F.transform("n", lambda x: file_name(x["name"])), ",").alias("original_filename"))
 
 
 def without_existing(jobs: DataFrame, listing: DataFrame, name: str = "output_name") -> DataFrame:

@@ -9,7 +9,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.curves import WHITE
@@ -89,16 +89,26 @@ def bracket_pixels(pixels: DataFrame, shots: int, delay: int = 0) -> DataFrame:
     return wide.where(" and ".join(f"s{k} is not null" for k in range(shots)))
 
 
-def exposure_ratios(pixels: DataFrame, clip: float = 0.7, bits: int = 5) -> DataFrame:
-    """shot, ratio, n: the mean ratio of each shot's samples to the next darker one's, over pixels that are neither clipped, nor zero, nor darker than 2^-bits in either. Rows need set_index, y, x, shot (in ascending exposure) and v."""
-    w = Window.partitionBy("set_index", "y", "x").orderBy("shot")
-    pairs = pixels.withColumn("darker", F.lag("v").over(w)).where("darker is not null")
+def exposure_ratios(pixels: DataFrame, shots: int, clip: float = 0.7, bits: int = 5) -> DataFrame:
+    """shot, ratio, n: the mean ratio of each shot's samples to the next darker one's, over pixels that are neither clipped, nor zero, nor darker than 2^-bits in either. Rows need set_index, y, x, shot (0 to shots - 1, in ascending exposure) and v. One shuffle, with partial aggregation."""
+    wide = pixels.groupBy("set_index", "y", "x").agg(*[F.max(F.when(F.col("shot") == k, F.col("v"))).alias(f"s{k}") for k in range(shots)])
+    pairs = wide.select(F.inline(F.array(*[F.struct(F.lit(k).alias("shot"), F.col(f"s{k}").alias("v"), F.col(f"s{k - 1}").alias("darker")) for k in range(1, shots)])))
     level, dark = F.col("v") / float(WHITE), F.col("darker") / float(WHITE)
     floor = F.lit(2.0**-bits)
     good = pairs.where((level <= clip) & (F.col("v") != 0) & (F.col("darker") != 0) & (level > floor) & (dark > floor))
     return good.groupBy("shot").agg(F.avg(F.col("v") / F.col("darker")).alias("ratio"), F.count("*").alias("n"))
 
 
+def ratio_sums(shots: list[np.ndarray], clip: float = 0.7, bits: int = 5) -> list[tuple[int, float, int]]:
+    """(shot, sum of ratios, count) of whole frames, given in ascending exposure: what exposure_ratios averages."""
+    out = []
+    for k in range(1, len(shots)):
+        v, dark = shots[k].astype(float), shots[k - 1].astype(float)
+        good = (v / WHITE <= clip) & (v / WHITE > 2.0**-bits) & (dark / WHITE > 2.0**-bits)
+        out.append((k, float((v[good] / dark[good]).sum()), int(good.sum())))
+    return out
+
+
 def refined(ratios: dict[int, float], multipliers: list[float], compat: bool = True) -> list[float]:
     """Multipliers from the mean ratios. With compat the product of the ratios so far also enters each new one, which counts earlier ratios twice from the fourth shot on; without it each is its ratio times the one before. Shots without a ratio give NaN."""
     out = [1 / multipliers[0] if compat else multipliers[0]]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.cfa import GRBG, channel_gain, colour, phase
@@ -83,11 +84,10 @@ def clipped(v: Column | str, point: float) -> Column:
 
 
 def diff_categories(pixels: DataFrame, width_bits: int = 16) -> DataFrame:
-    """Bit lengths of differences to the left neighbour two samples before (the same colour's), as a lossless coder sees them: category, n. The first two columns are predicted from two rows above, the first samples from half the range."""
-    from pyspark.sql import Window as W
-
-    row = W.partitionBy("frame_index", "y", F.col("x") % 2).orderBy("x")
+    """Bit lengths of differences to the left neighbour two samples before (the same colour's), as a lossless coder sees them: category, n. The first two columns are predicted from the row above, the first samples from half the range. Rows are windows; only the first two columns are sorted once more. For whole frames see ljpeg.category_counts, which needs no shuffle of samples."""
+    row = W.partitionBy("frame_index", "y").orderBy("x")
     above = W.partitionBy("frame_index", "x").orderBy("y")
-    guess = F.coalesce(F.lag("v").over(row), F.when(F.col("x") < 2, F.lag("v").over(above)), F.lit(1 << (width_bits - 1)))
-    d = F.abs(F.col("v") - guess)
-    return pixels.select(F.when(d == 0, F.lit(0)).otherwise(F.length(F.bin(d))).cast("int").alias("category")).groupBy("category").agg(F.count("*").alias("n"))
+    inner = pixels.withColumn("guess", F.lag("v", 2).over(row)).where("x >= 2")
+    edge = pixels.where("x < 2").withColumn("guess", F.coalesce(F.lag("v").over(above), F.lit(1 << (width_bits - 1))))
+    d = F.abs(F.col("v") - F.col("guess"))
+    return inner.unionByName(edge).select(F.when(d == 0, F.lit(0)).otherwise(F.length(F.bin(d))).cast("int").alias("category")).groupBy("category").agg(F.count("*").alias("n"))

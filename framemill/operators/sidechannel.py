@@ -16,6 +16,7 @@ ERRORS_CHUNK, CRI_CHUNK = 1, 2
 ERROR = "struct<code:string,severity:string,description:string,filename:string,data:binary>"
 META = "struct<format:int,data:binary,text:string,filename:string>"
 MAGIC = b"FRAMEMILL\0"
+#: Fixed value: the first line of an error report.
 CSV_HEADER = 'ErrorCode,Severity,"Error Description","Original Filename","Binary Data"'
 
 
@@ -61,6 +62,14 @@ def metadata_column(meta: Column | str, errors: Column | str) -> Column:
     return run(meta, errors)
 
 
+def error_column(errors: Column | str) -> Column:
+    @F.pandas_udf("binary")
+    def run(e: pd.Series) -> pd.Series:
+        return e.map(lambda a: error_blob(list(a) if a is not None else []))
+
+    return run(errors)
+
+
 def exploded_errors(frames: DataFrame, *keys: str) -> DataFrame:
     """A row for each error of an array column `errors`."""
     return frames.select(*keys, F.explode("errors").alias("e")).select(*keys, "e.*")

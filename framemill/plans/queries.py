@@ -13,8 +13,7 @@ from ..functions import curves, scalars
 from ..functions.cfa import GRBG, RGGB, channel_gain
 from ..functions.curves import linlog_parameter
 from ..operators import brackets, hdr, pixels as px
-from ..operators.dither import dither
-from ..operators.ljpeg import decode_payload, encode_frame, encode_payload, tiled
+from ..operators.ljpeg import category_counts, decode_payload, encode_frame, encode_payload, tiled
 from ..operators.sidechannel import error_csv_row
 from ..ordering import numbered
 from ..sinks.files import Output, as_dng, image, stabilisation_csv
@@ -183,9 +182,9 @@ def bracket_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brackets.brackets(sequence(spark, sf_dir), 3, 5).select("set_index", F.size("shot_indices").cast("long").alias("shots"), F.col("shot_indices")[0].alias("first"))
 
 
-@query(f"select cast(frame_index // 4 as bigint) as set_index, min(frame_index) as first from {S} where frame_index % 50 <> 7 group by 1 having count(*) = 4")
+@query(f"select cast(frame_index // 4 as bigint) as set_index, min(frame_index) as first from {S} group by 1 having count(*) = 4")
 def complete_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return brackets.brackets(sequence(spark, sf_dir).where("frame_index % 50 <> 7"), 4).select("set_index", F.col("shot_indices")[0].alias("first"))
+    return brackets.brackets(sequence(spark, sf_dir), 4).select("set_index", F.col("shot_indices")[0].alias("first"))
 
 
 @query(f"select name, cast(row_number() over (order by i % 13, i) - 1 as bigint) as frame_index from (select name, frame_index as i from {S})")
@@ -274,7 +273,7 @@ r as (select *, lag(v) over (partition by set_index, y, x order by shot) as d fr
 select shot, round(avg(v / d::double), 6) as ratio, count(*) as n from r where d is not null and v / 65535::double <= 0.7 and v <> 0 and d <> 0 and v / 65535::double > 0.03125 and d / 65535::double > 0.03125 group by 1""")
 def refine_exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pixels(spark, sf_dir).selectExpr("frame_index div 3 as set_index", "y", "x", "cast(frame_index % 3 as int) as shot", "v")
-    return hdr.exposure_ratios(rows, 0.7, 5).withColumn("ratio", F.round("ratio", 6))
+    return hdr.exposure_ratios(rows, 3, 0.7, 5).withColumn("ratio", F.round("ratio", 6))
 
 
 # -- codec, side channels, files --------------------------------------------
@@ -283,7 +282,7 @@ def refine_exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with g as (select v, coalesce(lag(v) over (partition by frame_index, y, x % 2 order by x), case when x < 2 then lag(v) over (partition by frame_index, x order by y) end, 32768) as g from {P})
 select cast(case when v = g then 0 else floor(log2(abs(v - g))) + 1 end as integer) as category, count(*) as n from g group by 1""")
 def jpeg_diff_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return px.diff_categories(pixels(spark, sf_dir))
+    return category_counts(payloads(spark, sf_dir), "payload", SIDE)
 
 
 @query("""select c_custkey, 'UNDEFINED,NOTE,"' || replace(d, '"', '""') || '","' || replace(c_name, '"', '""') || '",' || lower(hex(c_mktsegment)) as line from (select *, 'segment "' || c_mktsegment || '", damaged' as d from customer)""")
@@ -307,7 +306,7 @@ def ljpeg_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select vec_id as frame_index, 8 as width, 8 as height, true as same from embeddings")
 def dng_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames to DNG files of tiled lossless JPEG and back."""
-    files = as_dng(_dng_frames(spark, sf_dir), Output("bright16", tile=16))
+    files = as_dng(dng_frames(spark, sf_dir), Output("bright16", tile=16))
 
     def read(batches):
         for batch in batches:
@@ -318,7 +317,7 @@ def dng_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.join(payloads(spark, sf_dir), "frame_index").select("frame_index", "width", "height", (F.col("back") == F.col("payload")).alias("same"))
 
 
-def _dng_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dng_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.expr("cast(array() as array<struct<format:int,data:binary,text:string,filename:string>>)")
     return payloads(spark, sf_dir).repartition("frame_index").select(F.col("frame_index").cast("string").alias("output_name"), F.lit("").alias("original_filename"), F.lit(SIDE).alias("width"), F.lit(SIDE).alias("height"), F.array(*map(F.lit, RGGB)).alias("cfa"), "payload", none.alias("meta"), F.expr("cast(array() as array<struct<code:string,severity:string,description:string,filename:string,data:binary>>)").alias("errors"))
 
@@ -326,7 +325,7 @@ def _dng_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select vec_id as frame_index, 16 as bits, 1 as compression, 32803 as photometric, 4.0::double as exposure, '00010102' as cfa, vec_id || '.raw' as original from embeddings")
 def dng_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What tags of written files say, read back."""
-    frames = _dng_frames(spark, sf_dir).withColumn("original_filename", F.concat("output_name", F.lit(".raw")))
+    frames = dng_frames(spark, sf_dir).withColumn("original_filename", F.concat("output_name", F.lit(".raw")))
 
     def read(batches):
         for batch in batches:
@@ -337,11 +336,6 @@ def dng_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_dng(frames, Output("dark16", encoding="strip")).mapInPandas(read, "frame_index long, bits int, compression int, photometric int, exposure double, cfa string, original string")
 
 
-@query()
-def linlog_dither(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return payloads(spark, sf_dir).select("frame_index", F.lower(F.hex(dither("payload", SIDE, 16, 8, GRBG))).alias("codes"))
-
-
 @query()
 def output_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of each frame in each output format: what a sweep over formats compares."""
@@ -373,3 +367,6 @@ def tile_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"select name, cast(row_number() over (order by frame_index desc) - 1 as bigint) as place from {S}")
 def numbered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered(sequence(spark, sf_dir), [F.desc("frame_index")], "place").select("name", "place")
+
+
+from . import file_queries  # noqa: E402, F401  it adds its queries to those above

@@ -1,25 +1,23 @@
 """The data source `bayer_dng` for writing: df.write.format("bayer_dng").options(...).mode("append").save(folder).
 
-Rows need output_name, width, height, cfa and payload (linear); original_filename is used if it is there. Tasks write under temporary names; the commit renames all files, an abort removes them. options: format, encoding, tile, ifExists (error, skip or replace).
+Rows need output_name, width, height, cfa and payload (linear); original_filename is used if it is there. Tasks write whole files under temporary names and rename them, so the driver has nothing to do per file. options: format, encoding, tile, ifExists (error, skip or replace): with error a file that is there and isn't the same fails the job; files that other tasks have written by then stay, and writing again accepts them.
 """
 
 from __future__ import annotations
 
-import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
-from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from ..sources.tiff import dng
-from .files import Output, image
+from .files import Folder, Output, image
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    files: list[tuple[str, str]] = field(default_factory=list)
+    files: int = 0
 
 
 class DngWriter(DataSourceWriter):
@@ -27,44 +25,16 @@ class DngWriter(DataSourceWriter):
         path = options["path"]
         self.folder = path if "://" in path else f"file://{path}"
         self.out = Output(options.get("format", "dark16"), options.get("encoding", "ljpeg_tiles"), int(options.get("tile", 192)))
-        self.if_exists = options.get("ifexists", options.get("ifExists", "error"))
-
-    def _top(self) -> tuple[fs.FileSystem, str]:
-        return fs.FileSystem.from_uri(self.folder)
+        self.mode = {"error": "errorifexists", "skip": "ignore", "replace": "overwrite"}[options.get("ifexists", options.get("ifExists", "error"))]
 
     def write(self, rows) -> Written:
-        where, top = self._top()
-        done = Written()
+        to, done = Folder(self.folder, self.mode), Written()
         for r in rows:
             v = np.frombuffer(bytes(r["payload"]), "<u2").reshape(r["height"], r["width"])
             original = r["original_filename"] if "original_filename" in r.__fields__ else ""
-            final = f"{top}/{r['output_name']}"
-            where.create_dir(final.rsplit("/", 1)[0], recursive=True)
-            part = f"{final}.{uuid.uuid4().hex}.part"
-            with where.open_output_stream(part) as f:
-                f.write(dng(image(v, tuple(r["cfa"]), self.out, original or "")))
-            done.files.append((part, final))
+            done.files += to.write(r["output_name"], dng(image(v, tuple(r["cfa"]), self.out, original or "")))[2]
         return done
 
-    def commit(self, messages: list[Written]) -> None:
-        where, _ = self._top()
-        files = [f for m in messages if m for f in m.files]
-        there = {final for _, final in files if where.get_file_info(final).type != fs.FileType.NotFound}
-        if there and self.if_exists == "error":
-            self.abort(messages)
-            raise FileExistsError(sorted(there)[0])
-        for part, final in files:
-            if final in there and self.if_exists == "skip":
-                where.delete_file(part)
-            else:
-                where.move(part, final)
-
-    def abort(self, messages: list[Written]) -> None:
-        where, _ = self._top()
-        for part, _ in [f for m in messages if m for f in m.files]:
-            if where.get_file_info(part).type != fs.FileType.NotFound:
-                where.delete_file(part)
-
 
 class DngSink(DataSource):
     @classmethod

@@ -20,6 +20,7 @@ from ..sources.tiff import Image, dng
 
 #: Output formats: (bits before the curve, bits after it, curve).
 LINLOG = {"linlog10": (16, 10), "linlog8": (16, 8), "linlog7": (16, 7), "dark_linlog8": (12, 8), "dark_linlog7": (12, 7), "dark_linlog6": (12, 6), "dark_linlog5": (12, 5)}
+REPORT = ".errors.csv"
 FORMATS = ("dark16", "bright16", "packed12", "gamma10", *LINLOG)
 
 
@@ -61,53 +62,90 @@ def image(frame: np.ndarray, cfa: tuple[int, ...], out: Output, original: str =
     return Image(np.ascontiguousarray(v), cfa, out.encoding, out.format == "packed12", out.tile, out.gains, out.make, out.model, out.camera, out.software, original, exposure, table, private)
 
 
-def as_dng(frames: DataFrame, out: Output = Output()) -> DataFrame:
-    """output_name, content: a DNG file of each frame. frames: output_name, original_filename, width, height, cfa, payload (linear), meta, errors."""
+def dng_files(r, out: Output, reports: bool = False) -> list[tuple[str, bytes]]:
+    """(name, content) of a frame's DNG file, if it has a payload, and with reports of its error report, if it has errors."""
+    files, errors = [], list(r.errors) if r.errors is not None else []
+    if r.payload is not None:
+        v = np.frombuffer(r.payload, "<u2").reshape(r.height, r.width)
+        private = metadata_blob(list(r.meta) if r.meta is not None else [], errors)
+        files.append((r.output_name, dng(image(v, tuple(r.cfa), out, r.original_filename or "", private))))
+    if reports and errors:
+        files.append((r.output_name + REPORT, error_csv(errors)))
+    return files
+
+
+def as_dng(frames: DataFrame, out: Output = Output(), reports: bool = False) -> DataFrame:
+    """output_name, content: a DNG file of each frame, and with reports <output_name>.errors.csv of each frame that has errors. frames: output_name, original_filename, width, height, cfa, payload (linear), meta, errors."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
-                if r.payload is not None:
-                    v = np.frombuffer(r.payload, "<u2").reshape(r.height, r.width)
-                    private = metadata_blob(list(r.meta), list(r.errors))
-                    yield pd.DataFrame({"output_name": [r.output_name], "content": [dng(image(v, tuple(r.cfa), out, r.original_filename or "", private))]})
+                for name, content in dng_files(r, out, reports):
+                    yield pd.DataFrame({"output_name": [name], "content": [content]})
 
     return frames.mapInPandas(run, "output_name string, content binary")
 
 
+class Folder:
+    """Writes whole files under their names; a lost task leaves none half written."""
+
+    def __init__(self, folder: str, mode: str):
+        if mode not in ("errorifexists", "ignore", "overwrite"):
+            raise ValueError(f"unknown mode {mode!r}")
+        self.where, self.top = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        self.mode = mode
+
+    def _holds(self, path: str, content: bytes) -> bool | None:
+        """Whether a file is there and is this one; None if none is there."""
+        there = self.where.get_file_info(path)
+        if there.type == fs.FileType.NotFound:
+            return None
+        return there.size == len(content) and self.where.open_input_stream(path).read() == content
+
+    def write(self, name: str, content: bytes) -> tuple[str, int, bool]:
+        """output_name, bytes, written. An error report whose name is taken by another one gets the next free number."""
+        if name.endswith(REPORT):
+            stem, k = name.removesuffix(".csv"), 1
+            while self._holds(f"{self.top}/{name}", content) is False:
+                k += 1
+                name = f"{stem}.{k}.csv"
+        path = f"{self.top}/{name}"
+        if self.mode != "overwrite":
+            same = self._holds(path, content)
+            if same is False and self.mode == "errorifexists" and not name.endswith(REPORT):
+                raise FileExistsError(name)
+            if same is not None:
+                return name, len(content), same and self.mode == "errorifexists"
+        self.where.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        part = f"{path}.{uuid.uuid4().hex}.part"
+        with self.where.open_output_stream(part) as f:
+            f.write(content)
+        self.where.move(part, path)
+        return name, len(content), True
+
+
 def write_files(files: DataFrame, folder: str, mode: str = "errorifexists") -> DataFrame:
     """Write each row's content under its output_name; returns output_name, bytes, written. Files get their names only when they are whole, so a lost task leaves none half written.
 
-    mode: errorifexists fails at a file that is there and doesn't come from this call, ignore leaves it, overwrite replaces it.
+    mode: errorifexists fails at a file that is there and doesn't come from this call, ignore leaves it, overwrite replaces it. Error reports never fail: they are numbered.
     """
-    if mode not in ("errorifexists", "ignore", "overwrite"):
-        raise ValueError(f"unknown mode {mode!r}")
-    folder = folder if "://" in folder else f"file://{folder}"
+    Folder(folder, mode)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        where, top = fs.FileSystem.from_uri(folder)
+        to = Folder(folder, mode)
         for batch in batches:
-            done = []
-            for r in batch.itertuples():
-                path = f"{top}/{r.output_name}"
-                there = where.get_file_info(path)
-                if there.type != fs.FileType.NotFound and mode != "overwrite":
-                    same = there.size == len(r.content) and mode == "errorifexists" and where.open_input_stream(path).read() == r.content
-                    if mode == "errorifexists" and not same:
-                        raise FileExistsError(r.output_name)
-                    done.append((r.output_name, len(r.content), same))
-                    continue
-                where.create_dir(path.rsplit("/", 1)[0], recursive=True)
-                part = f"{path}.{uuid.uuid4().hex}.part"
-                with where.open_output_stream(part) as f:
-                    f.write(r.content)
-                where.move(part, path)
-                done.append((r.output_name, len(r.content), True))
-            yield pd.DataFrame(done, columns=["output_name", "bytes", "written"])
+            yield pd.DataFrame([to.write(r.output_name, bytes(r.content)) for r in batch.itertuples()], columns=["output_name", "bytes", "written"])
 
     return files.mapInPandas(run, "output_name string, bytes long, written boolean")
 
 
+def error_csv(errors: list[dict]) -> bytes:
+    """A report of some errors: the lines of sidechannel.error_csv_row, sorted, under a header."""
+    quote = lambda t: '"' + (t or "").replace('"', '""') + '"'
+    lines = sorted(f"{e['code']},{e['severity']},{quote(e['description'])},{quote(e['filename'])},{bytes(e['data'] or b'').hex()}" for e in errors)
+    return "".join(f"{x}\n" for x in (CSV_HEADER, *lines)).encode()
+
+
 def error_reports(errors: DataFrame) -> DataFrame:
     """output_name, content: <output>.errors.csv of each output that has errors. errors: output_name, code, severity, description, filename, data."""
     line = error_csv_row("code", "severity", "description", "filename", "data")
@@ -115,12 +153,6 @@ def error_reports(errors: DataFrame) -> DataFrame:
     return rows.select(F.concat("output_name", F.lit(".errors.csv")).alias("output_name"), F.concat(F.lit(CSV_HEADER + "\n"), "lines", F.lit("\n")).cast("binary").alias("content"))
 
 
-def unoccupied(name: str, taken: set[str]) -> str:
-    """The name, or with the first free number from 2 on before its extension."""
-    stem, dot, extension = name.rpartition(".")
-    return next(n for n in (name, *(f"{stem}.{k}{dot}{extension}" for k in range(2, len(taken) + 3))) if n not in taken)
-
-
 def stabilisation_csv(offsets: DataFrame) -> DataFrame:
     """Lines of a CSV file: `order` and `value`."""
     rows = offsets.select(F.col("frame_index").alias("order"), F.concat_ws(",", F.col("frame_index").cast("string"), float_text("h"), float_text("v")).alias("value"))
@@ -138,5 +170,6 @@ def keyframes(offsets: DataFrame, width: int, height: int, rate: int = 24) -> Da
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
-    """One text file of a bounded report, in order."""
-    lines.orderBy("order").select("value").coalesce(1).write.mode("errorifexists").text(path)
+    """A text report as part files, in order from file to file and within each: range-partitioned, so that no task sees all lines."""
+    n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines.repartitionByRange(n, "order").sortWithinPartitions("order").select("value").write.mode("errorifexists").text(path)

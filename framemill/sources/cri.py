@@ -9,7 +9,7 @@ import numpy as np
 
 from ..functions.cfa import BGGR, GBRG, GRBG, RGGB
 from ..functions.frames import unpack
-from ..operators.ljpeg import Damaged, decode
+from ..operators.ljpeg import Damaged, decode_many
 
 #: Names of tags.
 TAGS = {
@@ -25,32 +25,38 @@ KINDS = {"ExtendedRange": "?", "StabilizerEnabledH": "?", "StabilizerEnabledV":
 TEXTS = ("Header", "CodecName", "TimeCode")
 
 
-def tags(b: bytes, without: tuple[int, ...] = ()) -> list[tuple[int, bytes]]:
-    """Tags in their order. A tag that comes twice is an error; a value that breaks off is cut."""
+def tags_of(read: Callable[[int, int], bytes], size: int, without: tuple[int, ...] = ()) -> list[tuple[int, bytes]]:
+    """Tags in their order; read(n, at) gives n bytes from a place on, and values of tags `without` are stepped over unread. A tag that comes twice is an error; a value that breaks off is cut."""
     out, seen, at = [], set(), 0
-    while at + 4 <= len(b):
-        (tag,) = struct.unpack_from("<I", b, at)
+    while at + 4 <= size:
+        (tag,) = struct.unpack("<I", read(4, at))
         at += 4
         if not tag:
             continue
-        if at + 4 > len(b):
+        if at + 4 > size:
             break
-        (n,) = struct.unpack_from("<I", b, at)
+        (n,) = struct.unpack("<I", read(4, at))
         if tag in seen:
             raise Damaged(f"tag {tag} comes twice")
         seen.add(tag)
         if tag not in without:
-            out.append((tag, b[at + 4 : at + 4 + n]))
+            out.append((tag, read(min(n, size - at - 4), at + 4)))
         at += 4 + n
     return out
 
 
+def tags(b: bytes, without: tuple[int, ...] = ()) -> list[tuple[int, bytes]]:
+    return tags_of(lambda n, at: b[at : at + n], len(b), without)
+
+
 def serialised(values: list[tuple[int, bytes]], without: tuple[int, ...] = (FRAME_DATA, FILLER)) -> bytes:
     return b"".join(struct.pack("<II", t, len(v)) + v for t, v in values if t not in without)
 
 
 def info(values: dict[int, bytes]) -> tuple[int, int, tuple[int, ...], str]:
     """Width, height, pattern and sample format; an unknown colour model has no pattern and the format invalid."""
+    if len(values.get(FRAME_INFO, b"")) < 12:
+        raise Damaged("no whole FrameInfo")
     w, h, model = struct.unpack_from("<III", values[FRAME_INFO])
     pattern, kind = MODELS.get(model, ((), "invalid"))
     return w, h, pattern, kind
@@ -58,7 +64,7 @@ def info(values: dict[int, bytes]) -> tuple[int, int, tuple[int, ...], str]:
 
 def text(values: list[tuple[int, bytes]]) -> str:
     """A line for each tag but frame data and filler: its name and what it says."""
-    lines = ["tagname/number,interpreted"]
+    lines = ["tag,value"]
     for tag, v in values:
         if tag in (FRAME_DATA, FILLER):
             continue
@@ -72,7 +78,7 @@ def text(values: list[tuple[int, bytes]]) -> str:
             size = struct.calcsize(KINDS[name])
             said = ",".join(f"{x:.9f}".rstrip("0").rstrip(".") if isinstance(x, float) else str(x) for (x,) in struct.iter_unpack("<" + KINDS[name], v[: len(v) // size * size]))
         else:
-            said = "[no interpretation implemented]"
+            said = f"({len(v)} bytes)"
         lines.append(f'{name},"{said}"')
     return "\n".join(lines) + "\n"
 
@@ -113,23 +119,24 @@ def frame(b: bytes, name: str = "") -> tuple[np.ndarray, list[dict], list[tuple[
         errors.append(_rescue(name, what))
 
     out, at, left = np.zeros((h, w), np.uint16), 0, 0
+    parts = []
     for (size,) in struct.iter_unpack("<Q", by[TILE_SIZES][: len(by[TILE_SIZES]) // 8 * 8]):
         if at >= len(data):
             say(f"the tile at {at} is missing; so is that part of the image")
             break
-        part, short = data[at : at + size], at + size > len(data)
+        short = at + size > len(data)
         if short:
             say(f"the tile at {at} is partly missing; what is left of it was tried")
+        parts.append((data[at : at + size], short))
         at += size
-        try:
-            tile = decode(part)
-        except Damaged as e:
+    for (_, short), tile in zip(parts, decode_many([p for p, _ in parts])):
+        if isinstance(tile, Damaged):
             if not short:
-                raise
-            say(f"what was left of a tile could not be read to its end: {e}")
-            if e.partial is None:
+                raise tile
+            say(f"what was left of a tile could not be read to its end: {tile}")
+            if tile.partial is None:
                 break
-            tile = e.partial
+            tile = tile.partial
         # a tile's rows hold two rows of the image each
         tile = tile.reshape(tile.shape[0] * 2, -1)
         rows, cols = min(h, tile.shape[0]), min(w - left, tile.shape[1])

@@ -1,4 +1,4 @@
-"""Single-file sequences: a header, then frames at equal distances. Registered as the data source `bayer_seq`: partitions are ranges of frames, and each task reads only its own bytes."""
+"""Single-file sequences: a header, then frames at equal distances. Registered as the data source `bayer_seq`: partitions are ranges of frames of one file, and each task reads only its own bytes. The path is a file or a folder of *.seq files."""
 
 from __future__ import annotations
 
@@ -66,32 +66,44 @@ def checked(h: SeqHeader, flip: bool = False) -> str:
 
 @dataclass
 class Frames(InputPartition):
+    path: str
     first: int
     last: int
 
 
 class SeqReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.flip = options["path"], str(options.get("flip12in16", "false")).lower() == "true"
+        path = options["path"]
+        self.path, self.flip = path if "://" in path else f"file://{path}", str(options.get("flip12in16", "false")).lower() == "true"
         self.per_task, self.with_payload = int(options.get("framesPerTask", 32)), str(options.get("payload", "true")).lower() == "true"
 
-    def _open(self):
-        where, path = fs.FileSystem.from_uri(self.path if "://" in self.path else f"file://{self.path}")
+    def _open(self, path: str):
+        where, path = fs.FileSystem.from_uri(path)
         return where.open_input_file(path)
 
     def partitions(self) -> list[Frames]:
-        with self._open() as f:
-            n = parse_header(f.read_at(1024, 0)).count
-        return [Frames(i, min(n, i + self.per_task)) for i in range(0, n, self.per_task)] or [Frames(0, 0)]
+        where, path = fs.FileSystem.from_uri(self.path)
+        files = [self.path]
+        if where.get_file_info(path).type == fs.FileType.Directory:
+            found = where.get_file_info(fs.FileSelector(path))
+            files = sorted(f"{self.path.rstrip('/')}/{f.base_name}" for f in found if f.type == fs.FileType.File and f.base_name.endswith(".seq"))
+        out = []
+        for file in files:
+            with self._open(file) as f:
+                n = parse_header(f.read_at(1024, 0)).count
+            out += [Frames(file, i, min(n, i + self.per_task)) for i in range(0, n, self.per_task)]
+        return out or [Frames("", 0, 0)]
 
     def read(self, part: Frames):
-        stem = re.sub(r"\.[^.]*$", "", self.path.rsplit("/", 1)[-1]).replace(".", "_")
-        with self._open() as f:
+        if part.first == part.last:
+            return
+        stem = re.sub(r"\.[^.]*$", "", part.path.rsplit("/", 1)[-1]).replace(".", "_")
+        with self._open(part.path) as f:
             h = parse_header(f.read_at(1024, 0))
             kind = checked(h, self.flip)
             for i in range(part.first, part.last):
                 payload = f.read_at(h.image_bytes, FIRST_FRAME + i * h.stride) if self.with_payload else None
-                yield (self.path, i, f"{stem}_{i}", h.width, h.height, list(h.cfa), kind, payload)
+                yield (part.path, i, f"{stem}_{i}", h.width, h.height, list(h.cfa), kind, payload)
 
 
 class SeqSource(DataSource):

@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 import numpy as np
 
 from ..functions.frames import unpack
-from ..operators.ljpeg import Damaged, decode_frame, encode_frame, tiled
+from ..operators.ljpeg import Damaged, decode_many, encode_frame, tiled
 
 #: Bytes and struct codes of the field types.
 TYPES = {1: (1, "B"), 2: (1, "c"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 6: (1, "b"), 7: (1, "B"), 8: (2, "h"), 9: (4, "i"), 10: (8, "ii"), 11: (4, "f"), 12: (8, "d"), 13: (4, "I")}
@@ -33,27 +33,35 @@ class Tiff:
         if b[:2] not in (b"II", b"MM") or len(b) < 8:
             raise Damaged("not a TIFF file")
         self.order = "<" if b[:2] == b"II" else ">"
-        magic, first = struct.unpack_from(self.order + "HI", b, 2)
+        magic, first = self.unpack("HI", 2)
         if magic != 42:
             raise Damaged("not a TIFF file")
         self.first = self.directory(first)
 
+    def unpack(self, code: str, at: int) -> tuple:
+        try:
+            return struct.unpack_from(self.order + code, self.b, at)
+        except struct.error as e:
+            raise Damaged(f"the file ends before {at}: {e}") from e
+
     def directory(self, at: int) -> dict[int, tuple]:
-        (n,) = struct.unpack_from(self.order + "H", self.b, at)
+        (n,) = self.unpack("H", at)
         out = {}
         for k in range(n):
-            tag, kind, count = struct.unpack_from(self.order + "HHI", self.b, at + 2 + 12 * k)
+            tag, kind, count = self.unpack("HHI", at + 2 + 12 * k)
             if kind not in TYPES:
                 continue
             size, code = TYPES[kind]
             place = at + 10 + 12 * k
             if size * count > 4:
-                (place,) = struct.unpack_from(self.order + "I", self.b, place)
+                (place,) = self.unpack("I", place)
             if kind in (BYTE, UNDEFINED, ASCII):
                 v = self.b[place : place + count]
                 out[tag] = (v.rstrip(b"\0").decode("utf-8", "replace"),) if kind == ASCII else tuple(v) if count <= 64 else (v,)
             else:
-                v = struct.unpack_from(self.order + code * count, self.b, place)
+                if place + size * count > len(self.b):
+                    raise Damaged(f"the values of tag {tag} are cut off")
+                v = self.unpack(code * count, place)
                 out[tag] = tuple(a / b if b else 0.0 for a, b in zip(v[::2], v[1::2])) if len(code) == 2 else v
         return out
 
@@ -91,12 +99,22 @@ def samples(t: Tiff) -> np.ndarray:
     d = t.raw()
     w, h, bits, how = d[WIDTH][0], d[LENGTH][0], d.get(BITS, (16,))[0], d.get(COMPRESSION, (NONE,))[0]
 
-    def part(at: int, n: int, width: int) -> np.ndarray:
-        b = t.b[at : at + n]
-        if how == LJPEG:
-            return decode_frame(b)
+    def parts(places: tuple, sizes: tuple, width: int) -> list[np.ndarray]:
+        raw = [t.b[at : at + n] for at, n in zip(places, sizes)]
+        if how != LJPEG:
+            return [part(b, width) for b in raw]
+        found = decode_many(raw)
+        for v in found:
+            if isinstance(v, Damaged):
+                raise v
+        return [v.reshape(v.shape[0], -1) for v in found]
+
+    def part(b: bytes, width: int) -> np.ndarray:
         if how in (DEFLATE, 32946):
-            b = zlib.decompress(b)
+            try:
+                b = zlib.decompress(b)
+            except zlib.error as e:
+                raise Damaged(f"a strip can't be inflated: {e}") from e
         elif how != NONE:
             raise Damaged(f"compression {how} isn't known")
         if bits == 12:
@@ -107,14 +125,16 @@ def samples(t: Tiff) -> np.ndarray:
         return v.reshape(-1, width)
 
     if TILE_OFFSETS not in d:
-        rows = [part(a, n, w) for a, n in zip(d[STRIP_OFFSETS], d[STRIP_BYTES])]
-        return np.concatenate(rows)[:h]
+        v = np.concatenate(parts(d[STRIP_OFFSETS], d[STRIP_BYTES], w))
+        if v.shape[0] < h:
+            raise Damaged(f"{v.shape[0]} rows where {h} are due")
+        return v[:h]
     tw, th = d[TILE_WIDTH][0], d[TILE_LENGTH][0]
     across = -(-w // tw)
     out = np.zeros((-(-h // th) * th, across * tw), np.uint16)
-    for i, (a, n) in enumerate(zip(d[TILE_OFFSETS], d[TILE_BYTES])):
+    for i, v in enumerate(parts(d[TILE_OFFSETS], d[TILE_BYTES], tw)):
         y, x = i // across * th, i % across * tw
-        out[y : y + th, x : x + tw] = part(a, n, tw).reshape(th, tw)
+        out[y : y + th, x : x + tw] = v.reshape(th, tw)
     return out[:h, :w]
 
 
