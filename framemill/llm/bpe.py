@@ -10,7 +10,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,15 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
+#: Places whose first pairs are looked up at a time.
+CHUNK = 1 << 18
+
+
+def pair_keys(sym: np.ndarray, after: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The pairs that begin at some places, as first << 32 | second."""
+    return sym[places].astype(np.int64) << 32 | sym[after[places]].astype(np.int64) & 0xFFFFFFFF
+
+
 class MergeReplay:
     """Replays the merges of a rank table over many words at once."""
 
@@ -71,12 +81,14 @@ class MergeReplay:
         size = np.array([len(w) for w in words])
         n, ends = int(size.sum()), np.cumsum(size)
         # one place more, at -1, stands for no neighbour; its token is in no pair
-        sym = np.full(n + 1, -1, np.int64)
+        sym = np.full(n + 1, -1, np.int32)
         sym[:n] = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
         after, before, merged = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32), np.zeros(n, bool)
         after[ends - 1], before[ends - size], after[n] = -1, -1, -1
-        keys, at = np.unique(sym << 32 | sym[after] & 0xFFFFFFFF, return_inverse=True)
-        rank = self.rank_of(keys)[at]
+        rank = np.empty(n + 1, np.int32)
+        for i in range(0, n + 1, CHUNK):
+            keys, at = np.unique(pair_keys(sym, after, np.arange(i, min(i + CHUNK, n + 1))), return_inverse=True)
+            rank[i : i + CHUNK] = self.rank_of(keys)[at]
         order = np.argsort(rank, kind="stable").astype(np.int32)[: int((rank < NONE).sum())]
         cut = np.flatnonzero(np.diff(rank[order])) + 1
         index: dict[int, list[np.ndarray]] = {int(rank[p[0]]): [p] for p in np.split(order, cut) if len(p)}
@@ -103,7 +115,7 @@ class MergeReplay:
             nxt = after[q]
             sym[p], after[p], before[nxt], rank[q], merged[q] = r, nxt, p, NONE, True
             touched = np.concatenate([before[p], p])
-            new = self.rank_of(sym[touched] << 32 | sym[after[touched]] & 0xFFFFFFFF)
+            new = self.rank_of(pair_keys(sym, after, touched))
             rank[touched] = new
             some = new != NONE
             touched, new = touched[some], new[some]
@@ -158,7 +170,7 @@ class Encoder:
         self.replay, self.pattern = MergeReplay(ranks), regex.compile(pattern)
         self.known: dict[str, bytes] = {}  # segment -> ids as little-endian uint32
 
-    def learn(self, texts: list[str]) -> None:
+    def learn(self, texts: Iterable[str]) -> None:
         """Replay the merges over the pre-tokens of all segments that aren't known."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
@@ -167,10 +179,14 @@ class Encoder:
             new.update(segments(t))
         new -= known.keys()
         words: dict[str, int] = {}
-        made = [[words.setdefault(w, len(words)) for w in self.pattern.findall(s)] for s in new]
+        made = array("i")  # the pre-tokens of one segment after the other
+        ends = []
+        for s in new:
+            made.extend([words.setdefault(w, len(words)) for w in self.pattern.findall(s)])
+            ends.append(len(made))
         ids = self.replay.encode([w.encode() for w in words])
-        for s, ws in zip(new, made):
-            known[s] = ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])
+        for s, a, b in zip(new, [0, *ends], ends):
+            known[s] = ids[made[a]] if b == a + 1 else b"".join([ids[w] for w in made[a:b]])
 
     def ids(self, text: str) -> bytes:
         return b"".join(map(self.known.__getitem__, segments(text)))
@@ -193,7 +209,7 @@ def encoded(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(load_ranks(vocabulary), pattern)
         for some in gathered(batches, SLAB):
-            enc.learn([t for slab in some for t in slab.column(1).to_pylist()])
+            enc.learn(t for slab in some for t in slab.column(1).to_pylist())
             for slab in some:
                 ids = [enc.ids(t) for t in slab.column(1).to_pylist()]
                 back = [enc.decode(x) for x in ids]
