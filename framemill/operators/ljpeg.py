@@ -1,6 +1,8 @@
 """Lossless JPEG (ITU-T T.81, process 14): Huffman-coded differences to a predictor.
 
 Differences, categories, code lengths and bits are array operations over blocks of rows. Decoding walks from code to code in many streams at once (tiles, restart intervals, frames of a batch), a step of all of them being a few array operations; a single long stream is walked from many places at once, and the walks are joined where they meet. Predictors are sums along rows, columns or diagonals. Tiles don't depend on each other, so frames times tiles run in parallel.
+
+Two forms outside of T.81's lossless process are known: half-size raw of some cameras (three components, the first with two columns and one or two rows for each sample of the others), and pairs of columns (predictor 8), whose codes come before their bits, in words of four bytes, least significant first, without stuffing.
 """
 
 from __future__ import annotations
@@ -137,6 +139,59 @@ def encode(samples: np.ndarray, bits: int = 16, predictor: int = 1, restart: int
     return head + segment(0xDA, scan) + b"".join(d + (bytes([0xFF, 0xD0 + k % 8]) if k < len(data) - 1 else b"") for k, d in enumerate(data)) + b"\xff\xd9"
 
 
+def _coded(d: np.ndarray, table: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tables for differences of which each uses one; and each difference's code, its size, its bits and their number."""
+    k = categories(d).astype(np.int64)
+    tables, code, size = [], np.zeros(len(d), np.int64), np.zeros(len(d), np.int64)
+    for t in range(int(table.max()) + 1):
+        own = table == t
+        lengths = code_lengths(np.bincount(k[own], minlength=17))
+        counts, symbols, codes = table_of(lengths)
+        tables.append(bytes([t, *counts, *symbols]))
+        code[own], size[own] = codes[k[own]], lengths[k[own]]
+    extra = np.where(k == 16, 0, k)
+    return tables, code, size, np.where(d < 0, d - 1, d) & ((1 << extra) - 1), extra
+
+
+def _stream(bits: int, h: int, w: int, sampling: list[int], tables: list[bytes], use: list[int], predictor: int, data: bytes) -> bytes:
+    segment = lambda marker, body: struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
+    frame = struct.pack(">BHHB", bits, h, w, len(sampling)) + b"".join(bytes([c, f, 0]) for c, f in enumerate(sampling))
+    scan = bytes([len(sampling)]) + b"".join(bytes([c, t << 4]) for c, t in enumerate(use)) + bytes([predictor, 0, 0])
+    return b"\xff\xd8" + segment(0xC3, frame) + b"".join(segment(0xC4, t) for t in tables) + segment(0xDA, scan) + data + b"\xff\xd9"
+
+
+def _wrapped(d: np.ndarray) -> np.ndarray:
+    return (d.astype(np.int64) + 32768 & 0xFFFF) - 32768
+
+
+def encode_half_size(first: np.ndarray, others: np.ndarray, rows: int = 1, bits: int = 15) -> bytes:
+    """Half-size raw: (height, width) samples, and (height / rows, width / 2, 2) of the other components."""
+    h, w = first.shape
+    blocks = first.reshape(h // rows, rows, w // 2, 2).transpose(0, 2, 1, 3).reshape(h // rows, w // 2, 2 * rows)
+    v = [blocks.reshape(h // rows, -1), others[..., 0], others[..., 1]]
+    d = [_wrapped(np.diff(x.astype(np.int64), axis=1, prepend=np.concatenate([[[1 << 14]], x[:-1, :1].astype(np.int64)]))) for x in v]
+    units = np.concatenate([d[0].reshape(h // rows, w // 2, 2 * rows), d[1][..., None], d[2][..., None]], axis=2)
+    table = np.broadcast_to(np.array([0] * (2 * rows) + [1, 2]), units.shape).ravel()
+    tables, code, size, low, extra = _coded(units.ravel(), table)
+    data, left, filled = _packed(code << extra | low, size + extra, 0, 0)
+    data += bytes([left | 0xFF >> filled]) if filled else b""
+    return _stream(bits, h, w, [0x20 | rows, 0x11, 0x11], tables, [0, 1, 2], 1, data.replace(b"\xff", b"\xff\x00"))
+
+
+def encode_pairs(frame: np.ndarray, bits: int = 16) -> bytes:
+    """Pairs of columns (predictor 8) of a (height, width) frame of even width."""
+    h, w = frame.shape
+    v = frame.reshape(h, w // 2, 2).astype(np.int64)
+    d = _wrapped(np.diff(v, axis=1, prepend=np.full((h, 1, 2), 32768))).ravel()
+    tables, code, size, low, extra = _coded(d, np.zeros(len(d), np.int64))
+    word = np.stack([code[::2], code[1::2], low[::2], low[1::2]], axis=1).ravel()
+    size = np.stack([size[::2], size[1::2], extra[::2], extra[1::2]], axis=1).ravel()
+    data, left, filled = _packed(word[size > 0], size[size > 0], 0, 0)
+    data += bytes([left | 0xFF >> filled]) if filled else b""
+    data += b"\xff" * (-len(data) % 4)
+    return _stream(bits, h, w, [0x11], tables, [0], 8, np.frombuffer(data, "<u4").astype(">u4").tobytes())
+
+
 def _packed(word: np.ndarray, size: np.ndarray, left: int, filled: int) -> tuple[bytes, int, int]:
     """Words of `size` bits each (31 at most), most significant first, end to end behind `filled` bits of a byte `left`: whole bytes, and the byte that is left with its bits."""
     ends = np.cumsum(size) + filled
@@ -200,6 +255,7 @@ class Scan:
     shift: int
     restart: int
     data: bytes
+    rows: int = 0  # of half-size raw: rows of the first component for one of the others
 
     @property
     def components(self) -> int:
@@ -210,7 +266,7 @@ def parse(b: bytes) -> Scan:
     """The first scan of a stream, undecoded."""
     if b[:2] != b"\xff\xd8":
         raise Damaged("no start of image")
-    at, tables, frame, restart = 2, {}, None, 0
+    at, tables, frame, restart, rows = 2, {}, None, 0, 0
     try:
         while at + 4 <= len(b):
             if b[at] != 0xFF:
@@ -224,9 +280,11 @@ def parse(b: bytes) -> Scan:
             at += 2 + size
             if marker in (0xC0, 0xC1, 0xC3):
                 bits, h, w, n = struct.unpack_from(">BHHB", body)
-                if not 2 <= bits <= 16 or any(body[7 + 3 * c] != 0x11 for c in range(n)):
-                    raise Damaged("only 2 to 16 bits and components that aren't subsampled are known")
-                frame = bits, h, w, [body[6 + 3 * c] for c in range(n)]
+                sampling = [body[7 + 3 * c] for c in range(n)]
+                half = n == 3 and sampling[0] in (0x21, 0x22) and sampling[1:] == [0x11, 0x11] and not w % 2 and not h % (sampling[0] & 15)
+                if not 2 <= bits <= 16 or not half and any(f != 0x11 for f in sampling):
+                    raise Damaged("only 2 to 16 bits, and components that aren't subsampled but for half-size raw, are known")
+                frame, rows = (bits, h, w, [body[6 + 3 * c] for c in range(n)]), sampling[0] & 15 if half else 0
             elif marker == 0xC4:
                 while body:
                     total = sum(body[1:17])
@@ -242,11 +300,11 @@ def parse(b: bytes) -> Scan:
                 bits, h, w, names = frame
                 use = {body[1 + 2 * c]: body[2 + 2 * c] >> 4 for c in range(body[0])}
                 predictor, shift = body[1 + 2 * body[0]], body[3 + 2 * body[0]] & 15
-                if predictor > 7 or shift >= bits:
+                if predictor > 8 or predictor == 8 and (len(names) > 1 or w % 2) or shift >= bits:
                     raise Damaged("a predictor or a shift that there isn't")
-                if restart % max(w, 1):
+                if restart and (restart % max(w, 1) or rows or predictor == 8):
                     raise Damaged("a restart interval isn't whole rows")
-                return Scan(bits, h, w, [tables[use[c]] for c in names], predictor, shift, restart, b[at:])
+                return Scan(bits, h, w, [tables[use[c]] for c in names], predictor, shift, restart, b[at:], rows)
             elif marker == 0xD9:
                 break
     except (IndexError, KeyError, struct.error) as e:
@@ -266,6 +324,11 @@ class Stream:
 def _streams(scan: Scan) -> tuple[list[Stream], str]:
     """The restart intervals that are there, in turn, and what is wrong with the next one."""
     out, left, n = [], scan.height * scan.width, scan.components
+    if scan.predictor == 8:
+        return [], ""
+    if scan.rows:
+        slots = [scan.tables[0]] * (2 * scan.rows) + scan.tables[1:]
+        return [Stream(next(_intervals(scan.data))[0], slots, left // (2 * scan.rows) * len(slots))], ""
     for part, number in _intervals(scan.data):
         if number is not None and scan.restart and number != (len(out) - 1) % 8:
             return out, "a restart marker is out of turn"
@@ -290,7 +353,8 @@ def decode_many(streams: list[bytes]) -> list[np.ndarray | Damaged]:
     todo = [s for i in parts for s in parts[i][0]]
     found = iter(_all_differences(todo))
     for i, scan in scans.items():
-        out[i] = _image(scan, [next(found) for _ in parts[i][0]], parts[i][1])
+        got = [next(found) for _ in parts[i][0]]
+        out[i] = _pairs(scan) if scan.predictor == 8 else _half_size(scan, got[0]) if scan.rows else _image(scan, got, parts[i][1])
     return out
 
 
@@ -321,6 +385,57 @@ def _image(scan: Scan, parts: list[np.ndarray], wrong: str) -> np.ndarray | Dama
     return out
 
 
+def _half_size(scan: Scan, d: np.ndarray) -> np.ndarray | Damaged:
+    """(rows, columns, 3) samples of half-size raw, the other components' repeated. Each row of blocks begins at the first sample of the one before."""
+    h, w, rows, per = scan.height, scan.width, scan.rows, 2 * scan.rows + 2
+    full = np.zeros(h // rows * (w // 2) * per, np.int64)
+    full[: len(d)] = d
+    units = full.reshape(h // rows, w // 2, per)
+
+    def chain(x: np.ndarray) -> np.ndarray:
+        x = x.reshape(h // rows, -1).copy()
+        x[:, 0] = (1 << 14) + np.cumsum(x[:, 0])
+        return np.cumsum(x, axis=1) & 0xFFFF
+
+    first = chain(units[..., : 2 * rows]).reshape(h // rows, w // 2, rows, 2).transpose(0, 2, 1, 3).reshape(h, w)
+    out = np.stack([first, *(np.repeat(np.repeat(chain(units[..., k]), rows, axis=0), 2, axis=1) for k in (2 * rows, 2 * rows + 1))], axis=2).astype(np.uint16)
+    if len(d) < len(full):
+        out[len(d) // (per * (w // 2)) * rows :] = 0
+        return Damaged("the data end early", out)
+    return out
+
+
+def _pairs(scan: Scan) -> np.ndarray | Damaged:
+    """Samples of pairs of columns, walked one by one: each row of either column's kind is a sum from the middle of the range."""
+    h, w, table = scan.height, scan.width, scan.tables[0]
+    end = len(scan.data) // 4 * 4
+    data = np.frombuffer(scan.data[:end] or b"", ">u4").astype("<u4").tobytes()
+    d, at, bits, short = np.zeros(h * w, np.int64), 0, 8 * len(data), False
+    for i in range(0, h * w, 2):
+        pair = []
+        for _ in range(2):
+            ahead = int.from_bytes(data[at >> 3 : (at >> 3) + 3].ljust(3, b"\xff"), "big") >> (8 - (at & 7)) & 0xFFFF
+            x = table.quick[ahead >> 8] or int(table.look(np.array([ahead]))[0])
+            at += x & 31
+            pair.append(x)
+        sizes = [x >> 5 for x in pair]
+        if not all(pair) or at + sum(k for k in sizes if k < 16) > bits:
+            short = True
+            break
+        for j, k in enumerate(sizes):
+            if k == 16:
+                d[i + j] = -32768
+            elif k:
+                v = int.from_bytes(data[at >> 3 : (at >> 3) + 3].ljust(3, b"\0"), "big") >> (24 - (at & 7) - k) & ((1 << k) - 1)
+                d[i + j] = v if v >> (k - 1) else v - (1 << k) + 1
+                at += k
+    out = (32768 + np.cumsum(d.reshape(h, w // 2, 2), axis=1) & 0xFFFF).astype(np.uint16).reshape(h, w, 1)
+    if short:
+        out.reshape(-1)[i:] = 0
+        return Damaged("the data end early", out)
+    return out
+
+
 def _intervals(data: bytes):
     """(bytes without stuffing, number of the restart marker before them) up to the end of the image."""
     at, start, number = 0, 0, None

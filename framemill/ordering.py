@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
@@ -26,13 +27,9 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     path = shared_dir(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("#", F.monotonically_increasing_id()).write.parquet(path)
-    rows = spark.read.parquet(path)
-    part = F.shiftright("#", 33).cast("int")
-    first, offsets = 0, {}
-    for p, k in sorted((r[0], r[1]) for r in rows.groupBy(part.alias("p")).count().collect()):
-        offsets[p] = first
-        first += k
-    if not offsets:
-        return rows.withColumn(name, F.lit(0).cast("long")).drop("#")
-    before = F.create_map(*[F.lit(x) for pair in offsets.items() for x in pair])
-    return rows.withColumn(name, (F.element_at(before, part) + F.col("#").bitwiseAND((1 << 33) - 1)).cast("long")).drop("#")
+    rows = spark.read.parquet(path).withColumn("#part", F.shiftright("#", 33).cast("int"))
+    counts = sorted((r[0], r[1]) for r in rows.groupBy("#part").count().collect())
+    before = [0, *itertools.accumulate(k for _, k in counts)]
+    offsets = spark.createDataFrame([(p, n) for (p, _), n in zip(counts, before)], "`#part` int, `#first` long")
+    out = rows.join(F.broadcast(offsets), "#part").withColumn(name, F.col("#first") + F.col("#").bitwiseAND((1 << 33) - 1))
+    return out.drop("#", "#part", "#first")

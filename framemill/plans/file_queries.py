@@ -388,3 +388,21 @@ def ljpeg_predictors(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pd.DataFrame({"frame_index": batch.frame_index, "predictor": [s.predictor for s in scans], "restart": [s.restart for s in scans], "bits": [s.bits for s in scans], "height": [s.height for s in scans], "width": [s.width for s in scans], "components": [s.components for s in scans], "same": same})
 
     return payloads(spark, sf_dir).mapInPandas(run, "frame_index long, predictor int, restart int, bits int, height int, width int, components int, same boolean")
+
+
+@query("select vec_id as frame_index, true as columns, true as blocks, true as pairs from embeddings")
+def ljpeg_camera_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half-size raw, with one and with two rows for a sample of the other components, and pairs of columns: whether they give back what went in."""
+
+    def run(batches):
+        for batch in batches:
+            frames = [np.frombuffer(b, "<u2").reshape(SIDE, SIDE) for b in batch.payload]
+            same = []
+            for rows in (1, 2):
+                others = [np.stack([v[::rows, ::2], v[::rows, 1::2]], axis=2) for v in frames]
+                back = ljpeg.decode_many([ljpeg.encode_half_size(v, c, rows) for v, c in zip(frames, others)])
+                same.append([bool((b[..., 0] == v).all() and (b[::rows, ::2, 1:] == c).all()) for b, v, c in zip(back, frames, others)])
+            back = ljpeg.decode_many([ljpeg.encode_pairs(v) for v in frames])
+            yield pd.DataFrame({"frame_index": batch.frame_index, "columns": same[0], "blocks": same[1], "pairs": [bool((b[..., 0] == v).all()) for b, v in zip(back, frames)]})
+
+    return payloads(spark, sf_dir).mapInPandas(run, "frame_index long, columns boolean, blocks boolean, pairs boolean")

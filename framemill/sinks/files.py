@@ -100,7 +100,10 @@ class Folder:
         there = self.where.get_file_info(path)
         if there.type == fs.FileType.NotFound:
             return None
-        return there.size == len(content) and self.where.open_input_stream(path).read() == content
+        if there.size != len(content):
+            return False
+        with self.where.open_input_stream(path) as f:
+            return f.read() == content
 
     def write(self, name: str, content: bytes) -> tuple[str, int, bool]:
         """output_name, bytes, written. An error report whose name is taken by another one gets the next free number."""

@@ -120,6 +120,64 @@ def test_long_streams_and_cut_ones(monkeypatch):
     assert (j.decode(j.encode(flat)) == flat).all()
 
 
+def plain_bits(d, table, parts="both"):
+    k = abs(d).bit_length()
+    low = format(d if d > 0 else d + (1 << k) - 1, f"0{k}b") if 0 < k < 16 else ""
+    return {"both": table[k] + low, "code": table[k], "low": low}[parts]
+
+
+def wrap(d):
+    return (d + 32768) % 65536 - 32768
+
+
+def headed(text, bits, h, w, sampling, predictor, stuffed):
+    text += "1" * (-len(text) % 32)
+    data = bytes(int(text[k : k + 8], 2) for k in range(0, len(text), 8))
+    data = data.replace(b"\xff", b"\xff\x00") if stuffed else b"".join(data[k : k + 4][::-1] for k in range(0, len(data), 4))
+    seg = lambda m, b: struct.pack(">BBH", 0xFF, m, len(b) + 2) + b
+    dht = b"".join(seg(0xC4, bytes([t, *(ls.count(n) for n in range(1, 17)), *[s for _, s in sorted((n, s) for s, n in enumerate(ls))]])) for t, ls in enumerate(LENGTHS))
+    sof = seg(0xC3, struct.pack(">BHHB", bits, h, w, len(sampling)) + b"".join(bytes([c, f, 0]) for c, f in enumerate(sampling)))
+    return b"\xff\xd8" + dht + sof + seg(0xDA, bytes([len(sampling)]) + b"".join(bytes([c, min(c, 1) << 4]) for c in range(len(sampling))) + bytes([predictor, 0, 0])) + data + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("rows", [1, 2])
+@pytest.mark.parametrize("together", [1, 1000])
+def test_half_size_raw(monkeypatch, rows, together):
+    monkeypatch.setattr(j, "TOGETHER", together)
+    rng = np.random.default_rng(rows)
+    y, c = rng.integers(0, 32768, (6, 10)), rng.integers(0, 32768, (6 // rows, 5, 2))
+    text, start = "", [1 << 14] * 3
+    tables = [codes(x) for x in LENGTHS]
+    for r in range(0, 6, rows):
+        last = list(start)
+        for x in range(0, 10, 2):
+            for k, v in [(0, y[r + a, x + b]) for a in range(rows) for b in (0, 1)] + [(1, c[r // rows, x // 2, 0]), (2, c[r // rows, x // 2, 1])]:
+                text += plain_bits(wrap(int(v) - last[k]), tables[min(k, 1)])
+                last[k] = int(v)
+        start = [int(y[r, 0]), *map(int, c[r // rows, 0])]
+    want = np.concatenate([y[..., None], np.repeat(np.repeat(c, rows, axis=0), 2, axis=1)], axis=2)
+    got = j.decode_many([headed(text, 15, 6, 10, [0x20 | rows, 0x11, 0x11], 1, True), j.encode_half_size(y, c, rows)])
+    assert (got[0] == want).all() and (got[1] == want).all()
+    with pytest.raises(j.Damaged):
+        j.decode(j.encode_half_size(y, c, rows)[:120])
+
+
+def test_pairs_of_columns():
+    rng = np.random.default_rng(3)
+    for v in (rng.integers(0, 65536, (5, 8)), np.clip(rng.normal(30000, 30, (9, 14)), 0, 65535).astype(int)):
+        text, table = "", codes(LENGTHS[0])
+        for row in v.tolist():
+            last = [32768, 32768]
+            for x in range(0, len(row), 2):
+                d = [wrap(row[x + k] - last[k]) for k in (0, 1)]
+                text += "".join(plain_bits(k, table, "code") for k in d) + "".join(plain_bits(k, table, "low") for k in d)
+                last = row[x : x + 2]
+        for b in (headed(text, 16, *v.shape, [0x11], 8, False), j.encode_pairs(v.astype(np.uint16))):
+            assert (j.decode(b)[..., 0] == v).all()
+            with pytest.raises(j.Damaged):
+                j.decode(b[: len(b) - 14])
+
+
 def test_markers_out_of_turn_and_damage():
     v = image(np.random.default_rng(5), 12, 6, 2, 16, True)
     b = plain(v, 16, 1, 2)
