@@ -149,8 +149,8 @@ def seq_bytes(k: int, frames: list[bytes]) -> bytes:
 @query(f"""select 's.' || i // {OF} || '.seq' as seq_id, cast(row_number() over (partition by i // {OF} order by i) - 1 as bigint) as frame_index, 's_' || i // {OF} || '_' || row_number() over (partition by i // {OF} order by i) - 1 as name,
 case when i // {OF} % 2 = 0 then 'bright16' else 'dark16' end as format, ['{"','".join(map(text, PATTERNS))}'][i // {OF} % 4 + 1] as cfa, payload from {payload_sql()}""")
 def seq_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        k = int(key[0])
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        k = int(pdf.frame_index.iloc[0]) // OF
         return pd.DataFrame([(f"s.{k}.seq", seq_bytes(k, [bytes(b) for b in pdf.sort_values("frame_index").payload]))], columns=["output_name", "content"])
 
     files = payloads(spark, sf_dir).groupBy(F.expr(f"frame_index div {OF}")).applyInPandas(build, "output_name string, content binary")
